@@ -13,7 +13,7 @@ from tallyframe.operators.ranking import with_zscores
 from tallyframe.plans import profiles
 
 from . import sqlbase as S
-from .views import careers, features, players, r6, rates, text
+from .views import careers, features, part_rates, players, r6, rates, rolled, similar, text
 
 Q, O = {}, {}
 M = P.METRICS
@@ -36,9 +36,7 @@ def season_rates(spark, sf):
 @query("part_season_rates", f"""WITH {S.rates('part').replace("WHERE p_partkey = s.player_id", "WHERE p_partkey = s.player_id")}
 SELECT player_id, season, team, {S.r(*M)} FROM rates""")
 def part_season_rates(spark, sf):
-    from tallyframe.functions.rates import add_rates
-    from tallyframe.sources.boxscore import part_teams
-    return r6(add_rates(part_teams(spark, sf)).select("player_id", "season", "team", *M))
+    return r6(part_rates(spark, sf).select("player_id", "season", "team", *M))
 
 
 @query("normalized_features", f"""WITH {S.feats()} SELECT player_id, season,
@@ -63,7 +61,7 @@ SELECT player_id, player_name, career_games, career_minutes, first_season, last_
   position_group, height, weight, draft_year, draft_position, career_teams, {S.r(*M)}, {S.r(*[f'{m}_z' for m in M])}
 FROM career JOIN lists USING (player_id)""")
 def career_rollup(spark, sf):
-    out = C.roll_up(features(spark, sf))
+    out = rolled(spark, sf)
     return r6(out.select("player_id", "player_name", "career_games", "career_minutes", "first_season", "last_season",
                          "last_season_start", "primary_position", "position_group", "height", "weight", "draft_year",
                          "draft_position", text("career_teams"), *M, *[f"{m}_z" for m in M]))
@@ -79,7 +77,7 @@ def career_percentiles(spark, sf):
   (career_games >= 200)::INT AS in_pool, (career_games * mpg >= 300)::INT AS qualified
 FROM career WHERE last_season_start >= 2002 - 3 + 1 OR career_games >= 82""")
 def player_filter(spark, sf):
-    kept = C.keep_players(C.roll_up(features(spark, sf, "customer")), 2002)
+    kept = C.keep_players(rolled(spark, sf, "customer"), 2002)
     return kept.select("player_id", "career_games", "last_season_start", (F.col("career_games") >= 200).cast("int").alias("in_pool"),
                        C.qualified(F.col("career_games"), F.col("mpg")).cast("int").alias("qualified"))
 
@@ -195,7 +193,7 @@ SIMILAR = SIMILAR.replace("SELECT a.player_id,", "SELECT a.player_id,")
 @query("similar_players", f"""WITH {SIMILAR} SELECT player_id, similar_id, rank, round(composite, 6) AS composite,
   round(78.0 * pow(greatest(0.0, least(1.0, composite / 1.45)), 2.0), 6) AS similarity_score FROM top""")
 def similar_players(spark, sf):
-    return r6(pairs.similar_players(players(spark, sf)))
+    return r6(similar(spark, sf))
 
 
 def _explain_sql() -> str:
@@ -211,7 +209,7 @@ SELECT player_id, similar_id, 'Closest match in ' || s[1].label || ', ' || s[2].
 @query("similar_explained", _explain_sql())
 def similar_explained(spark, sf):
     pool = players(spark, sf)
-    near = pairs.similar_players(pool)
+    near = similar(spark, sf)
     return pairs.explain_pairs(near, pool, {m: F.col(f"{m}_z") for m in M}).select("player_id", "similar_id", "explanation")
 
 
@@ -238,15 +236,15 @@ poly AS (SELECT *, ({' + '.join(f'{a}_q / 100.0 * ({b}_q / 100.0)' for a, b in z
     * pow(mpg_q / 100.0, 1.5) AS polygon FROM lab),
 player AS (SELECT *, least(pow({S.share_le('polygon', 'season, bucket')}, 1.5) * 0.99, 0.99) AS caliber FROM poly),
 {similar_sql('player', '_pctile', ' AND a.season = b.season', 'inches', 'player_id, season', ', a.season')},
-near AS (SELECT player_id, season, string_agg(similar_id::VARCHAR, '|' ORDER BY rank) AS similar FROM top GROUP BY player_id, season)
-SELECT player_id, season, role, array_to_string(archetypes, '|') AS archetypes, {S.r('pfv', 'apfv')}, similar
+near AS (SELECT player_id, season, string_agg(similar_id::VARCHAR, '|' ORDER BY rank) AS near_ids FROM top GROUP BY player_id, season)
+SELECT player_id, season, role, array_to_string(archetypes, '|') AS archetypes, {S.r('pfv', 'apfv')}, near_ids
 FROM player LEFT JOIN near USING (player_id, season)"""
 
 
 @query("season_bundle", _bundle_sql())
 def season_bundle(spark, sf):
     out = profiles.season_bundle(features(spark, sf))
-    return r6(out.select("player_id", "season", "role", text("archetypes"), "pfv", "apfv", text("similar")))
+    return r6(out.select("player_id", "season", "role", text("archetypes"), "pfv", "apfv", F.array_join("similar", "|").alias("near_ids")))
 
 
 @query("player_profile", f"""WITH {S.scored()}, cs AS (SELECT player_id, sum(apfv * "min") / sum("min") AS apfv, sum(gp)::BIGINT AS games,
@@ -267,5 +265,4 @@ def player_seasons(spark, sf):
 SELECT player_id, CASE WHEN mid < 2001 THEN 'late-90s' WHEN mid < 2006 THEN 'early-2000s' ELSE 'late-2000s' END AS era,
   (split_part(first_season, '-', 1)::INT // 10 * 10)::VARCHAR || 's' AS decade FROM m""")
 def career_eras(spark, sf):
-    rolled = C.roll_up(features(spark, sf, "customer"))
-    return rolled.select("player_id", career_era(F.col("career_span")).alias("era"), season_decade(F.col("first_season")).alias("decade"))
+    return rolled(spark, sf, "customer").select("player_id", career_era(F.col("career_span")).alias("era"), season_decade(F.col("first_season")).alias("decade"))

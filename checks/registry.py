@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["players"]
+MODULES = ["players", "teams", "lineups"]
 
 
 def _all(attr: str) -> dict:

@@ -1,40 +1,75 @@
-"""Tables the queries start from. Each is persisted for the branches of its own query; a lost executor
-recomputes its part from the files."""
+"""Stage tables the queries start from."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions.rates import add_rates, team_rates
 from tallyframe.operators import career as C
+from tallyframe.operators.pairs import similar_players
 from tallyframe.operators.teams import merge_team_sources, normalize_teams
+from tallyframe.session import cut_lineage
 from tallyframe.sources import boxscore as B
 
 
-def rates(spark: SparkSession, sf: str, entity: str = "supplier") -> DataFrame:
-    return add_rates(B.entity_seasons(spark, sf, entity)).persist()
+_stages: dict[tuple, DataFrame] = {}
+
+
+def reset() -> None:
+    """Forget the stage tables, so that the next query builds its own."""
+    _stages.clear()
+
+
+def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage table: written once per session and input, read by every query that needs it."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _stages:
+        _stages[key] = cut_lineage(build())
+    return _stages[key]
+
+
+def rates(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"rates_{entity}", lambda: add_rates(B.entity_seasons(spark, sf, entity)))
+
 
+def features(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"features_{entity}", lambda: C.normalize_seasons(rates(spark, sf, entity)))
 
-def features(spark: SparkSession, sf: str, entity: str = "supplier") -> DataFrame:
-    return C.normalize_seasons(rates(spark, sf, entity)).persist()
 
+def rolled(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"rolled_{entity}", lambda: C.roll_up(features(spark, sf, entity)))
 
-def careers(spark: SparkSession, sf: str, entity: str = "supplier") -> DataFrame:
-    return C.career_features(features(spark, sf, entity)).persist()
 
+def careers(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"careers_{entity}", lambda: C.add_labels(C.career_percentiles(rolled(spark, sf, entity))))
 
-def players(spark: SparkSession, sf: str, entity: str = "supplier") -> DataFrame:
+
+def players(spark, sf, entity: str = "supplier") -> DataFrame:
     """Careers with sizes and caliber: what the similarity search reads."""
-    return C.caliber(C.fill_sizes(careers(spark, sf, entity))).persist()
+    return stage(spark, sf, f"players_{entity}", lambda: C.caliber(C.fill_sizes(careers(spark, sf, entity))))
+
+
+def similar(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"similar_{entity}", lambda: similar_players(players(spark, sf, entity)))
+
+
+def teams(spark, sf) -> DataFrame:
+    return stage(spark, sf, "teams", lambda: team_rates(merge_team_sources(*B.team_sources(spark, sf))))
+
+
+def normalized_teams(spark, sf) -> DataFrame:
+    return stage(spark, sf, "normalized_teams", lambda: normalize_teams(teams(spark, sf)))
 
 
-def teams(spark: SparkSession, sf: str) -> DataFrame:
-    return team_rates(merge_team_sources(*B.team_sources(spark, sf))).persist()
+def part_rates(spark, sf) -> DataFrame:
+    return stage(spark, sf, "part_rates", lambda: add_rates(B.part_teams(spark, sf)))
 
 
-def normalized_teams(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_teams(teams(spark, sf)).persist()
+def part_features(spark, sf) -> DataFrame:
+    return stage(spark, sf, "part_features", lambda: C.normalize_seasons(part_rates(spark, sf)))
 
 
 def r6(df: DataFrame, *skip: str) -> DataFrame:

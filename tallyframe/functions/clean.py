@@ -42,7 +42,8 @@ def ratio(a: Column, b: Column, default: float | None = 0.0) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def literal_map(mapping: dict[str, str]) -> Column:

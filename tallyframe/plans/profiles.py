@@ -10,6 +10,7 @@ from ..functions import rules, scores
 from ..functions.clean import distinct_labels, height_bucket, height_inches, normalize_season, weight_pounds
 from ..operators import career as C
 from ..operators.pairs import similar_players
+from ..session import cut_lineage
 
 # the sort keys of the leaderboard
 BOX_KEYS = ["pts_per36", "ast_per36", "reb_per36", "stl_per36", "blk_per36", "tov_per36", "ts_pct", "efg_pct",
@@ -120,6 +121,7 @@ def season_bundle(features: DataFrame, careers: DataFrame | None = None, k: int
     df = df.join(means, "season").withColumns({
         "height_inches": F.when(F.col("height_inches") == 0, F.coalesce("_hm", F.lit(78.0))).otherwise(F.col("height_inches")),
         "weight_lbs": F.when(F.col("weight_lbs") == 0, F.coalesce("_wm", F.lit(215.0))).otherwise(F.col("weight_lbs"))}).drop("_hm", "_wm")
+    df = cut_lineage(df)
     near = similar_players(df, "_pctile", k, within="season")
     lists = near.groupBy("player_id", "season").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", "similar_id"))), lambda x: x["similar_id"]).alias("similar"))

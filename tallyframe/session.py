@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, cores: int | None = None, **conf: str) -> SparkSession:
@@ -24,24 +25,27 @@ def build_session(master: str | None = None, cores: int | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_local_dir: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder lineage is cut to. The cluster names it; a local run gets one of its own."""
+    """The shared folder lineage is cut to. The cluster names it; only a local run gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+        "spark.checkpoint.dir", None)
     if named:
-        spark.sparkContext.setCheckpointDir(named)
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix=f"ckpt-{os.getpid()}-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut_lineage(df):
-    """Reliable checkpoint: the rows are written to the shared folder and survive a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="tallyframe-")
+    return _local_dir
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and go on from there. The rows survive lost executors, every
+    later branch reads them instead of computing them again, and reads only the columns it needs."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
