@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["players", "teams", "lineups"]
+MODULES = ["players", "teams", "lineups", "prospects"]
 
 
 def _all(attr: str) -> dict:

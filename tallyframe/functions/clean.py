@@ -222,11 +222,11 @@ def slug(c: Column) -> Column:
 
 def label_parts(c: Column) -> Column:
     """'A. One - B. Two' to its trimmed, non-blank parts."""
-    return F.filter(F.transform(F.split(c, " - "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, " - "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def distinct_labels(labels: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(labels, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 # ---- per-game minutes, alternatives ------------------------------------------
