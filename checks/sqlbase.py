@@ -68,6 +68,7 @@ rates AS (SELECT box.*,
 
 
 def avg_rank(v: str, part: str = "") -> str:
+    v = f"round(({v}) * 1e9)"
     by = f"PARTITION BY {part}" if part else ""
     tie = f"PARTITION BY {part}, {v}" if part else f"PARTITION BY {v}"
     return f"""((rank() OVER ({by} ORDER BY {v}) + rank() OVER ({by} ORDER BY {v}) - 1 + count(*) OVER ({tie}))::DOUBLE / 2.0
@@ -75,6 +76,7 @@ def avg_rank(v: str, part: str = "") -> str:
 
 
 def share_le(v: str, part: str = "") -> str:
+    v = f"round(({v}) * 1e9)"
     by = f"PARTITION BY {part}" if part else ""
     return f"(cume_dist() OVER ({by} ORDER BY {v}))"
 

@@ -47,6 +47,38 @@ def clean_value(c: Column) -> Column:
     return F.when(F.isnan(v), None).otherwise(v + F.lit(0.0))
 
 
+def rank_value(c: Column) -> Column:
+    """What ranks are taken on: the value in units of 1e-9. Sums of doubles depend on the order they are added in; values
+    that differ only by that still tie, in every run."""
+    return F.rint(clean_value(c) * 1e9)
+
+
+# rank_value as text: long lists of columns are cheaper to build as expressions
+RANK_SQL = "rint(nanvl(double(`{m}`), null) * 1e9D)"
+
+
+def _cuts(df: DataFrame, values: dict[str, Column], group: list[str], key: list[str], limit: int) -> DataFrame:
+    """Per group: an array of cut values per name (empty for groups within the limit)."""
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
+    sampled = attach_groups(df, sizes, group).where(
+        (F.col("_n") > limit) & (draw < F.lit(OVERSAMPLE / limit)))
+    cuts = sampled.groupBy(*group).agg(*[
+        F.array_distinct(F.filter(F.sort_array(F.collect_list(v)), lambda x, i: i % OVERSAMPLE == OVERSAMPLE - 1))
+        .alias(f"_cut_{name}") for name, v in values.items()])
+    return cuts
+
+
+def rank_value(c: Column) -> Column:
+    """What ranks are taken on: the value in units of 1e-9. Sums of doubles depend on the order they are added in; values
+    that differ only by that still tie, in every run."""
+    return F.rint(clean_value(c) * 1e9)
+
+
+# rank_value as text: long lists of columns are cheaper to build as expressions
+RANK_SQL = "rint(nanvl(double(`{m}`), null) * 1e9D)"
+
+
 def _cuts(df: DataFrame, values: dict[str, Column], group: list[str], key: list[str], limit: int) -> DataFrame:
     """Per group: an array of cut values per name (empty for groups within the limit)."""
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -71,24 +103,24 @@ def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: lis
     """outputs: new column -> (value column, formula over lt, le, n). `key` identifies a row.
     Nulls and NaN take no part and get `default`."""
     names = list(dict.fromkeys(v for v, _ in outputs.values()))
-    values = {m: clean_value(F.col(m)) for m in names}
+    formulas = list(dict.fromkeys(f for _, f in outputs.values()))
+    values = {m: RANK_SQL.format(m=m) for m in names}
     split = rows_per_group(df, group) > limit
     grouped = group or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
+    base = df
     if split:
-        base = df.join(_cuts(df, values, grouped, key, limit), grouped, "left")
-        piece = {m: _piece(F.col(f"_cut_{m}"), values[m]) for m in names}
-    else:
-        base, piece = df, {m: F.lit(0) for m in names}
+        base = df.join(_cuts(df, {m: F.expr(v) for m, v in values.items()}, grouped, key, limit), grouped, "left")
 
-    entries = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("m"), values[m].alias("v"), piece[m].alias("b")) for i, m in enumerate(names)]))
-    keep = [c for c in df.columns if c not in grouped and c not in key]
-    row = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_x"))
+    piece = "coalesce(2 * size(filter(_cut_{m}, x -> x < {v})) + int(exists(_cut_{m}, x -> x = {v})), 0)" if split else "0"
+    entries = ", ".join(f"named_struct('m', {i}, 'v', {v}, 'b', {piece.format(m=m, v=v)})" for i, (m, v) in enumerate(values.items()))
     ids = list(dict.fromkeys([*grouped, *key]))
-    long = base.select(*ids, row.alias("row"), entries.alias("e")).select(
-        *ids, F.when(F.col("e.m") == 0, F.col("row")).alias("row"), "e.m", "e.v", "e.b")
+    keep = [c for c in df.columns if c not in ids]
+    row = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in keep) + ")" if keep else "named_struct('_x', 1)"
+    # the row itself travels with its first metric only
+    long = base.selectExpr(*ids, f"{row} AS row", f"explode(array({entries})) AS e").selectExpr(
+        *ids, "if(e.m = 0, row, null) AS row", "e.m", "e.v", "e.b")
 
     part = [*grouped, "m", "b"]
     if split:
@@ -115,14 +147,13 @@ def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: lis
             "n": F.count("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         })
 
-    index = {m: i for i, m in enumerate(names)}
     lt, le, n = (F.col(c).cast("double") for c in ("lt", "le", "n"))
+    ranked = ranked.select(*ids, "row", "m", *[F.when(F.col("v").isNotNull(), f(lt, le, n)).alias(f"_r{k}") for k, f in enumerate(formulas)])
     wide = ranked.groupBy(*ids).agg(
         F.first("row", ignorenulls=True).alias("row"),
-        *[F.max(F.when((F.col("m") == index[v]) & F.col("v").isNotNull(), formula(lt, le, n))).alias(out)
-          for out, (v, formula) in outputs.items()])
-    made = [F.col(o) if default is None else F.coalesce(F.col(o), F.lit(default)).alias(o) for o in outputs]
-    return wide.select(*[c for c in ids if c != "_all"], *[F.col("row")[c].alias(c) for c in keep], *made)
+        *[F.expr(f"max(if(m = {names.index(v)}, _r{formulas.index(f)}, null)) AS `{out}`") for out, (v, f) in outputs.items()])
+    made = [f"`{o}`" if default is None else f"coalesce(`{o}`, {default}D) AS `{o}`" for o in outputs]
+    return wide.selectExpr(*[c for c in ids if c != "_all"], *[f"row.`{c}` AS `{c}`" for c in keep], *made)
 
 
 def with_percentiles(df: DataFrame, metrics: list[str], group: list[str], key: list[str], suffix: str = "_pctile",
@@ -138,9 +169,9 @@ def with_ordinal(df: DataFrame, value: str, group: list[str], key: list[str], ou
     grouped = group or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
-    place = F.struct(clean_value(F.col(value)).alias("v"), *[F.col(k) for k in key])
+    place = F.struct(rank_value(F.col(value)).alias("v"), *[F.col(k) for k in key])
     if not split:
-        w = Window.partitionBy(*grouped).orderBy(clean_value(F.col(value)), *key)
+        w = Window.partitionBy(*grouped).orderBy(rank_value(F.col(value)), *key)
         full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumns({out: F.row_number().over(w), size: F.count(F.lit(1)).over(full)}).drop("_all")
     cuts = _cuts(df, {"place": place}, grouped, key, limit)
@@ -150,7 +181,7 @@ def with_ordinal(df: DataFrame, value: str, group: list[str], key: list[str], ou
     line = Window.partitionBy(*grouped).orderBy("_b")
     pieces = pieces.select(*grouped, "_b", (F.sum("_cnt").over(line) - F.col("_cnt")).alias("_off"),
                            F.sum("_cnt").over(Window.partitionBy(*grouped)).alias(size))
-    w = Window.partitionBy(*grouped, "_b").orderBy(clean_value(F.col(value)), *key)
+    w = Window.partitionBy(*grouped, "_b").orderBy(rank_value(F.col(value)), *key)
     local = cut.withColumn("_rn", F.row_number().over(w))
     return (local.join(pieces, [*grouped, "_b"])
             .withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b", "_all"))
@@ -160,23 +191,17 @@ def with_zscores(df: DataFrame, metrics: list[str], group: list[str], suffix: st
                  flat: str = "zero", floor: float = 1e-9) -> DataFrame:
     """(v - mean) / deviation per group; null gives 0. `flat` says what a group without spread
     does: 'zero' gives 0, 'unit' divides by 1, 'floor' divides by at least `floor`."""
-    spread = F.stddev_samp if sample else F.stddev_pop
-    values = {m: clean_value(F.col(m)) for m in metrics}
+    spread = "stddev_samp" if sample else "stddev_pop"
+    value = "nanvl(double(`{m}`), null)"
     stats = df.groupBy(*group).agg(*[
-        e for m in metrics for e in (F.avg(values[m]).alias(f"_avg_{m}"), spread(values[m]).alias(f"_sd_{m}"))])
+        F.expr(e) for m in metrics for e in (f"avg({value.format(m=m)}) AS `_avg_{m}`", f"{spread}({value.format(m=m)}) AS `_sd_{m}`")])
     joined = attach_groups(df, stats, group)
-    out = {}
-    for m in metrics:
-        sd = F.coalesce(F.col(f"_sd_{m}"), F.lit(0.0))
-        gap = values[m] - F.col(f"_avg_{m}")
-        if flat == "zero":
-            z = F.when(sd > 1e-12, gap / sd)
-        elif flat == "unit":
-            z = gap / F.when(sd > 1e-12, sd).otherwise(1.0)
-        else:
-            z = gap / F.greatest(sd, F.lit(floor))
-        out[f"{m}{suffix}"] = F.coalesce(z, F.lit(0.0))
-    return joined.withColumns(out).drop(*[f"{p}{m}" for m in metrics for p in ("_avg_", "_sd_")])
+    # fixed: deviations up to 1e-12 are rounding, not spread
+    rule = {"zero": "if(`_sd_{m}` > 1e-12D, ({v} - `_avg_{m}`) / `_sd_{m}`, null)",
+            "unit": "({v} - `_avg_{m}`) / if(`_sd_{m}` > 1e-12D, `_sd_{m}`, 1.0D)",
+            "floor": "({v} - `_avg_{m}`) / greatest(coalesce(`_sd_{m}`, 0D), {f}D)"}[flat]
+    out = [f"coalesce({rule.format(m=m, v=value.format(m=m), f=floor)}, 0D) AS `{m}{suffix}`" for m in metrics]
+    return joined.selectExpr(*[f"`{c}`" for c in df.columns if c not in {f"{m}{suffix}" for m in metrics}], *out)
 
 
 def rank_in_reference(values: DataFrame, reference: DataFrame, on: list[str], value: str = "value",
@@ -185,8 +210,8 @@ def rank_in_reference(values: DataFrame, reference: DataFrame, on: list[str], va
     """Rank values against another table's values per group: both are ranked as one sorted line in
     which only reference rows count. `values` needs a unique `_vid` column; groups without reference
     rows give `default`."""
-    line = values.select(*on, "_vid", clean_value(F.col(value)).alias("v"), F.lit(0).alias("ref")).unionByName(
-        reference.select(*on, F.lit(None).cast("bigint").alias("_vid"), clean_value(F.col(value)).alias("v"),
+    line = values.select(*on, "_vid", rank_value(F.col(value)).alias("v"), F.lit(0).alias("ref")).unionByName(
+        reference.select(*on, F.lit(None).cast("bigint").alias("_vid"), rank_value(F.col(value)).alias("v"),
                          F.lit(1).alias("ref"))).where("v is not null")
     counts = line.groupBy(*on, "v").agg(F.sum("ref").alias("c"), F.count(F.lit(1)).alias("rows"))
     split = rows_per_group(counts, on) > limit
@@ -204,7 +229,7 @@ def rank_in_reference(values: DataFrame, reference: DataFrame, on: list[str], va
     le = F.sum("c").over(w) + (F.col("_off") if split else F.lit(0))
     counts = counts.select(*on, "v", le.alias("le"), (le - F.col("c")).alias("lt"))
     sizes = reference.groupBy(*on).agg(F.count(clean_value(F.col(value))).alias("n"))
-    ranked = (values.withColumn("v", clean_value(F.col(value))).join(counts, [*on, "v"], "left")
+    ranked = (values.withColumn("v", rank_value(F.col(value))).join(counts, [*on, "v"], "left")
               .join(sizes, on, "left"))
     lt, le, n = (F.col(c).cast("double") for c in ("lt", "le", "n"))
     pct = F.when(F.col("n") > 0, formula(lt, le, n))
