@@ -27,7 +27,7 @@ SUMS = """count(DISTINCT l_orderkey)::DOUBLE AS gp, sum(q)::DOUBLE AS "min", cou
     count(*) FILTER (q >= 45)::DOUBLE AS blk, count(*) FILTER (rf = 'R')::DOUBLE AS tov,
     count(*) FILTER (rf = 'A')::DOUBLE AS w, count(*) FILTER (rf = 'N')::DOUBLE AS l,
     2.0 * count(*) FILTER (rf <> 'R') + count(*) FILTER (d >= 0.05 AND rf <> 'R')
-      + count(*) FILTER (t >= 0.04 AND ls = 'F') AS pts"""
+      + count(*) FILTER (t >= 0.04 AND ls = 'F') AS pts_raw, pts_raw::DOUBLE AS pts"""
 
 LABEL = "season_start::VARCHAR || '-' || lpad(((season_start + 1) % 100)::VARCHAR, 2, '0')"
 
