@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import clean as K
 from tallyframe.operators import search
 from tallyframe.sources import landed
+from tallyframe.sources.boxscore import names as part_names
 from tallyframe.sources.boxscore import table
 
 from . import sqlbase as S
@@ -140,12 +141,12 @@ SELECT player_id, CASE WHEN h = 'ring1' THEN 120.0 WHEN list_contains(string_spl
   WHEN len(list_filter(string_split(h, ' '), lambda w: starts_with(w, 'ring1'))) > 0 THEN 110.0 WHEN starts_with(h, 'ring1') THEN 105.0 WHEN contains(h, 'ring1') THEN 100.0 END::DOUBLE AS score FROM n
 WHERE contains(h, 'ring1')""")
 def name_search_tiers(spark, sf):
-    names = part_rates(spark, sf).select("player_id", "player_name").distinct()
+    names = part_names(spark, sf, "part")
     out = names.withColumn("score", search.tier_score(K.search_name(F.col("player_name")), "ring1"))
     return out.where("score is not null").select("player_id", "score")
 
 
 @query("fuzzy_name_search")
 def fuzzy_name_search(spark, sf):
-    names = part_rates(spark, sf).select("player_id", "player_name").distinct()
+    names = part_names(spark, sf, "part")
     return r6(search.search_players(names, "Rde Wdget11"))

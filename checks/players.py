@@ -266,3 +266,21 @@ SELECT player_id, CASE WHEN mid < 2001 THEN 'late-90s' WHEN mid < 2006 THEN 'ear
   (split_part(first_season, '-', 1)::INT // 10 * 10)::VARCHAR || 's' AS decade FROM m""")
 def career_eras(spark, sf):
     return rolled(spark, sf, "customer").select("player_id", career_era(F.col("career_span")).alias("era"), season_decade(F.col("first_season")).alias("decade"))
+
+
+@query("season_leaders", f"""WITH {S.scored()}, lab AS (SELECT *, {S.role()} AS role FROM scored WHERE gp * mpg >= 300),
+b AS (SELECT player_id, season, role, ts_pct AS sort_value, apfv, row_number() OVER (ORDER BY ts_pct ASC, apfv ASC, player_id) AS place FROM lab WHERE season = '1998-99' AND role = 'Rim Attacker')
+SELECT player_id, season, place, round(sort_value, 6) AS sort_value, round(apfv, 6) AS apfv FROM b WHERE place BETWEEN 6 AND 10""")
+def season_leaders(spark, sf):
+    """Second page of one role's players of a season by a box-score key, ascending."""
+    scored = C.season_scores(C.add_labels(features(spark, sf)))
+    items = profiles.leader_items(scored, "_pctile").where("season = '1998-99'")
+    out = profiles.leaders(items, "box_ts_pct", False, "Rim Attacker", page=2, page_size=5, games="gp")
+    return r6(out.select("player_id", "season", "place", "sort_value", "apfv"))
+
+
+@query("leader_totals", f"""WITH {S.scored()}, lab AS (SELECT *, {S.role()} AS role FROM scored WHERE gp * mpg >= 300)
+SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS total_pages, array_to_string(list_sort(list(DISTINCT role)), '|') AS roles FROM lab""")
+def leader_totals(spark, sf):
+    out = profiles.page_totals(C.add_labels(features(spark, sf)), games="gp")
+    return out.select("total", F.col("total_pages").cast("bigint").alias("total_pages"), text("roles"))

@@ -215,3 +215,39 @@ def clean_names(spark, sf):
     from tallyframe.functions.clean import search_name
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.md5(clean_name(F.col("text"))).alias("cleaned"), F.md5(search_name(F.col("text"))).alias("searched"), F.md5(slug(F.col("text"))).alias("slug"))
+
+
+# ---- projection ------------------------------------------------------------------------------
+def projected(spark, sf):
+    from tallyframe.operators import projection as J
+    from .views import features
+
+    def build():
+        asked = C.add_prospect_roles(prospects(spark, sf), ["class"]).withColumn("class_year", (1996 + F.col("class") % 9).cast("int"))
+        model = J.fit(J.training_pairs(asked, features(spark, sf)))
+        best = top_comps(spark, sf).where("rank = 1").select("prospect_id", F.col("player_id").alias("counterpart_id"), F.lit("").alias("counterpart_name"))
+        return J.season_rows(asked, features(spark, sf), model, best)
+    return stage(spark, sf, "projected", build)
+
+
+@query("projection_inputs", f"""WITH {PROS} SELECT prospect_id, {', '.join(f'round(greatest({lo}, least({hi}, {k})), 6) AS x_{k}' for k, (lo, hi) in P.PROJECTION_INPUT_RANGES.items()
+    if k in PM)}, round(greatest(0, least(1.6, apg / fgm)), 6) AS x_ast_pct_college, inches AS x_height_in, weight::DOUBLE AS x_weight FROM pros""")
+def projection_input_rows(spark, sf):
+    from tallyframe.functions.rates import projection_inputs
+    out = projection_inputs(prospects(spark, sf))
+    return r6(out.select("prospect_id", *[f"x_{k}" for k in P.PROJECTION_INPUT_RANGES if k in PM], "x_ast_pct_college", "x_height_in", "x_weight"))
+
+
+@query("projected_rows")
+def projected_rows(spark, sf):
+    return r6(projected(spark, sf).select("player_id", "prospect_id", "season", "position_group", "counterpart_id", "min", "pts", "fga", *M, *[f"{m}_pctile" for m in M]))
+
+
+@query("combined_rows", f"""WITH {S.feats()} SELECT season, count(*) AS rows, 0::BIGINT AS prospects FROM feats GROUP BY season""")
+def combined_rows(spark, sf):
+    """Real rows keep their mark when projected rows of other seasons join them."""
+    from tallyframe.operators.upserts import combine_rows
+    from .views import features
+    both = combine_rows(features(spark, sf), projected(spark, sf).select("player_id", "player_name", "season", "is_prospect", *M))
+    real = both.where("not is_prospect")
+    return real.groupBy("season").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("is_prospect").cast("bigint")).alias("prospects"))

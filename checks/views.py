@@ -31,8 +31,12 @@ def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame
     return _stages[key]
 
 
+def box(spark, sf, entity: str = "supplier") -> DataFrame:
+    return stage(spark, sf, f"box_{entity}", lambda: B.entity_seasons(spark, sf, entity))
+
+
 def rates(spark, sf, entity: str = "supplier") -> DataFrame:
-    return stage(spark, sf, f"rates_{entity}", lambda: add_rates(B.entity_seasons(spark, sf, entity)))
+    return stage(spark, sf, f"rates_{entity}", lambda: add_rates(box(spark, sf, entity)))
 
 
 def features(spark, sf, entity: str = "supplier") -> DataFrame:
@@ -65,7 +69,7 @@ def normalized_teams(spark, sf) -> DataFrame:
 
 
 def part_rates(spark, sf) -> DataFrame:
-    return stage(spark, sf, "part_rates", lambda: add_rates(B.part_teams(spark, sf)))
+    return stage(spark, sf, "part_rates", lambda: add_rates(stage(spark, sf, "part_box", lambda: B.part_teams(spark, sf))))
 
 
 def part_features(spark, sf) -> DataFrame:

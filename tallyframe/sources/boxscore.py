@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.clean import season_label
+from ..session import cut_lineage
 
 ENTITY_KEYS = {"supplier": "l_suppkey", "part": "l_partkey", "customer": "o_custkey"}
 NAMES = {"supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name"), "customer": ("c_custkey", "c_name")}
@@ -72,17 +73,23 @@ def _derived(df: DataFrame) -> DataFrame:
     })
 
 
+def names(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    """Entity ids and names; parts are named by their first two words and the key."""
+    id_col, name_col = NAMES[entity]
+    dim = table(spark, sf_dir, entity).select(F.col(id_col).alias("player_id"), F.col(name_col).alias("player_name"))
+    if entity != "part":
+        return dim
+    words = F.split(F.initcap("player_name"), " ")
+    return dim.withColumn("player_name", F.concat(
+        F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1)), F.col("player_id").cast("string")))
+
+
 def entity_seasons(spark: SparkSession, sf_dir: str, entity: str = "supplier") -> DataFrame:
     """Season totals with the bio columns of the entity."""
     key = ENTITY_KEYS[entity]
-    id_col, name_col = NAMES[entity]
     lines = play_lines(spark, sf_dir).withColumnRenamed(key, "player_id")
     sums = _derived(_season_sums(lines, ["player_id"]))
-    dim = table(spark, sf_dir, entity).select(F.col(id_col).alias("player_id"), F.col(name_col).alias("player_name"))
-    if entity == "part":
-        words = F.split(F.initcap("player_name"), " ")
-        dim = dim.withColumn("player_name", F.concat(
-            F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1)), F.col("player_id").cast("string")))
+    dim = names(spark, sf_dir, entity)
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("team_nation"), F.col("n_name").alias("team"))
     out = sums.join(dim, "player_id").join(nation, "team_nation")
@@ -118,7 +125,7 @@ def team_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """The three landed team tables: advanced, shooting and misc."""
     c = F.col
     div = F.try_divide
-    box = team_box(spark, sf_dir)
+    box = cut_lineage(team_box(spark, sf_dir))  # read by all three
     advanced = box.select(
         "team_id", F.concat(F.lit("Team "), c("team_id").cast("string")).alias("team_name"), "season", "season_start",
         "w", "l", div(c("w"), c("w") + c("l")).alias("w_pct"), "gp",

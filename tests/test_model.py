@@ -109,3 +109,27 @@ def test_grades_and_changes(spark):
     assert r.improved == ["defense"] and r.regressed == ["spacing"] and r.gained == ["scoring"] and r.lost == [] and r.fixed == ["rebounding"] and r.opened == []
     v = spark.range(1).select(D.roster_grade(F.lit(0.01), F.lit(0.02)).alias("a"), D.roster_grade(F.lit(0.0), F.lit(0.0)).alias("b"), D.roster_grade(F.lit(-0.1), F.lit(0.0)).alias("c")).first()
     assert (v.a, v.b, v.c) == (pytest.approx(25.0), 50.0, 0.0)
+
+
+def test_projection_penalty_is_the_leave_one_out_choice(spark):
+    from tallyframe.operators import projection as J
+
+    rng = np.random.default_rng(9)
+    n = 40
+    x = rng.normal(size=(n, len(J.INPUTS)))
+    y = x[:, :1] * 0.5 + rng.normal(size=(n, len(J.TARGETS)))
+    pdf = pd.DataFrame(np.column_stack([x, y]), columns=[*J.INPUTS, *[f"y_{t}" for t in J.TARGETS]])
+    alphas = (0.1, 5.0, 300.0)
+    got = J.fit(spark.createDataFrame(pdf).repartition(3), alphas)
+    z = (x - x.mean(0)) / x.std(0)
+    for j, t in enumerate(J.TARGETS):
+        errors = []
+        for a in alphas:
+            e = 0.0
+            for i in range(n):  # columns stay standardized on all rows
+                keep = np.arange(n) != i
+                zc = z[keep] - z[keep].mean(0)
+                coef = np.linalg.solve(zc.T @ zc + a * np.eye(z.shape[1]), zc.T @ (y[keep, j] - y[keep, j].mean()))
+                e += (y[i, j] - y[keep, j].mean() - (z[i] - z[keep].mean(0)) @ coef) ** 2
+            errors.append(e)
+        assert got.models[t].alpha == alphas[int(np.argmin(errors))]
