@@ -9,7 +9,7 @@ from .. import preset as P
 from ..functions import rules, scores
 from ..functions.clean import draft_value, height_bucket, height_inches, number, season_start, weight_pounds
 from .attach import attach_row
-from .ranking import LIMIT, pct_avg, pct_le, with_ordinal, with_percentiles, with_ranks, with_zscores
+from .ranking import LIMIT, pct_avg, pct_le, rank_in_reference, with_ordinal, with_percentiles, with_ranks, with_zscores
 
 SEASON_KEY = ["player_id", "season"]
 
@@ -142,8 +142,6 @@ def curve_against_pool(values: DataFrame, pool: DataFrame, value: str, bucket: s
     """Score of rows against another table's pool of the same bucket. A value the pool does not
     hold counts as one more member."""
     at = pool.groupBy(bucket, value).agg(F.count(F.lit(1)).alias("c"))
-    from .ranking import rank_in_reference
-
     probe = values.withColumn("_vid", F.col(key)).withColumn("value", F.col(value))
     counts = lambda lt, le, n: le / n
     share = rank_in_reference(probe, pool.withColumn("value", F.col(value)), [bucket], "value", counts, 0.0, "_share")

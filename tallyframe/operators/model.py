@@ -115,7 +115,7 @@ def _boosted(df: DataFrame, p: TrainParams) -> GBTRegressionModel:
                         stepSize=p.step, minInstancesPerNode=p.min_leaf, seed=42).fit(_assembled(df))
 
 
-def auc(df: DataFrame, label: str, score: str) -> Column:
+def auc(df: DataFrame, label: str, score: str) -> float:
     """Area under the curve from average ranks (ties count half)."""
     from .ranking import with_ranks
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clean import clock_minutes, number, season_end_year, stat_number
-from ..operators.upserts import keyed_upsert
 
 
 # ---- parquet and partitions ----------------------------------------------------------------
@@ -221,8 +220,3 @@ def pre_draft_rows(rows: DataFrame) -> DataFrame:
     main = usable.where(~F.col("is_all")).groupBy("player_id").agg(F.max_by("team", F.struct("_gp", "team")).alias("_main"))
     return best.join(main, "player_id", "left").withColumn("team", F.when(F.col("is_all"), F.coalesce("_main", "team")).otherwise(F.col("team"))).drop(
         "_main", "is_all").withColumnsRenamed({"_min": "minutes", "_gp": "games"})
-
-
-def refresh_table(spark: SparkSession, path: str, stored: DataFrame, fresh: DataFrame | None, slice_by: list[str]) -> DataFrame:
-    """New slices over stored ones; a failed load (None) keeps what is stored."""
-    return stored if fresh is None else keyed_upsert(stored, fresh, slice_by)
