@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe import preset as P
 from tallyframe.operators import lineups as L
 from tallyframe.operators import teams as T
+from tallyframe.operators.ranking import with_ordinal
 
 from . import sqlbase as S
 from .teams import TEAM
@@ -31,8 +32,8 @@ def groups(spark, sf):
     """Named fives: the roster in id order, cut into fives, labelled 'A. Last - ...', each with its members' sums."""
     def build():
         roster = part_rates(spark, sf).select("team", "season", "player_id", "player_name", "gp", "min")
-        w = Window.partitionBy("team", "season").orderBy("player_id")
-        rows = roster.withColumn("i", F.row_number().over(w) - 1).withColumn("five", F.floor(F.col("i") / 5))
+        rows = with_ordinal(roster, "player_id", ["team", "season"], ["player_id"]).withColumn("i", F.col("ord") - 1)
+        rows = rows.withColumn("five", F.floor(F.col("i") / 5))
         words = F.split("player_name", " ")
         short = F.concat(F.substring(words[0], 1, 1), F.lit(". "), words[1])
         return rows.groupBy("team", "season", "five").agg(

@@ -57,7 +57,8 @@ def starting_lineups(groups: DataFrame, roster: DataFrame, min_unit_games: float
     found = rows.join(whole, UNIT).select(*UNIT, "player_id", "pos", "lineup_mpg", F.lit("lineup_minutes").alias("source"))
 
     w = Window.partitionBy(*UNIT).orderBy(F.col("min").desc(), "player_id")
-    heavy = roster.where(F.col("gp") >= min_player_games).withColumn("pos", F.row_number().over(w) - 1).where("pos < 5")
+    heavy = roster.where(F.col("gp") >= min_player_games).withColumn("_rn", F.row_number().over(w)).where("_rn <= 5")
+    heavy = heavy.withColumn("pos", F.col("_rn") - 1).drop("_rn")
     full = heavy.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("_n")).where("_n = 5").select(*UNIT)
     fallback = (heavy.join(full, UNIT).join(whole, UNIT, "left_anti")
                 .select(*UNIT, "player_id", "pos", F.lit(None).cast("double").alias("lineup_mpg"), F.lit("minutes_fallback").alias("source")))
