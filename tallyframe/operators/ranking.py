@@ -113,7 +113,8 @@ def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: lis
     if split:
         base = df.join(_cuts(df, {m: F.expr(v) for m, v in values.items()}, grouped, key, limit), grouped, "left")
 
-    piece = "coalesce(2 * size(filter(_cut_{m}, x -> x < {v})) + int(exists(_cut_{m}, x -> x = {v})), 0)" if split else "0"
+    piece = ("coalesce(2 * size(filter(`_cut_{m}`, _cut_item -> _cut_item < {v})) + int(exists(`_cut_{m}`, _cut_item -> _cut_item = {v})), 0)"
+             if split else "0")
     entries = ", ".join(f"named_struct('m', {i}, 'v', {v}, 'b', {piece.format(m=m, v=v)})" for i, (m, v) in enumerate(values.items()))
     ids = list(dict.fromkeys([*grouped, *key]))
     keep = [c for c in df.columns if c not in ids]
