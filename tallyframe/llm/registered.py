@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import sql
 from tallyframe.llm.decontaminate import found_phrases
+from tallyframe.llm.jaccard import jaccard_components
 from tallyframe.llm.quality import judged
-from tallyframe.llm.rows import identified, table
+from tallyframe.llm.rows import identified, table, with_ids
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = identified(table(spark, sf, "documents"), "doc_id", "text")
+    return with_ids(docs, jaccard_components(docs), "component").withColumnRenamed("component", "component_id")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,5 +31,5 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-Q = {f.__name__: f for f in (op5_benchmark_decontamination, op9_quality_rules)}
-O = {"op5_benchmark_decontamination": sql.OP5, "op9_quality_rules": sql.OP9}
+Q = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op9_quality_rules)}
+O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op9_quality_rules": sql.OP9}

@@ -26,17 +26,28 @@ def small_batches(spark: SparkSession) -> None:
 
 def identified(docs: DataFrame, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(uid, doc_id, text, kept columns): uid is a distinct long in the order of the ids. Where ids are unique and not
-    null, uid is the id. Else the rows are sorted (null ids first, equal ids by a hash of the text) and uid is the place
+    null, uid is the id (and a column _same says so). Else the rows are sorted (null ids first, equal ids by a hash of the text) and uid is the place
     in that order, written to the shared folder so that it never changes."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *keep)
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
     if seen["n"] == seen["ids"] and rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows.select(F.col("doc_id").alias("uid"), "*")
+        return rows.select(F.col("doc_id").alias("uid"), "*", F.lit(True).alias("_same"))
     ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return cut_lineage(ordered.select(F.monotonically_increasing_id().alias("uid"), "*"))
 
 
+def with_ids(docs: DataFrame, result: DataFrame, *references: str) -> DataFrame:
+    """The result of an operator with doc_id for uid, and for the uids in the columns `references`."""
+    if all(f.name != "_same" for f in docs.schema.fields):
+        ids = docs.select("uid", "doc_id")
+        out = result.join(ids, "uid").drop("uid")
+        for c in references:
+            out = out.join(ids.select(F.col("uid").alias(c), F.col("doc_id").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
+        return out
+    return result.withColumnRenamed("uid", "doc_id")
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of batches with about `most` text bytes (one text at least): (slice, bytes of its texts end to end, n + 1 offsets).
     A null text has no bytes."""
@@ -64,7 +75,7 @@ class Words:
 
     def __init__(self, letters: np.ndarray):
         self.letters = letters
-        self.codes = np.random.RandomState(20240607).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+        self.codes = np.random.RandomState(20240607).randint(1, 2**63 - 1, 257, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         self._power = np.ones(1, np.uint64)
         self._inverse = np.ones(1, np.uint64)
 
@@ -112,10 +123,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def byte_map(words: str, lower: bool = True) -> np.ndarray:
-    """Byte values of words ("space": all but white space; "alnum": ASCII letters, digits and all beyond ASCII), others 0; A-Z in lower case."""
-    out = np.arange(256, dtype=np.uint8)
+    """Codes of the bytes of words ("space": all but white space; "alnum": ASCII letters, digits and all beyond ASCII), others 0; A-Z as a-z."""
+    out = np.arange(1, 257, dtype=np.uint16)
     if lower:
         out[65:91] += 32
     drop = [0x20, *range(9, 14)] if words == "space" else [b for b in range(128) if not chr(b).isalnum()]
     out[drop] = 0
     return out
+
+
+def bitmap_filter(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """Rows whose key may be in the one column of `ids`: a bitmap of fixed size (half a megabyte) is broadcast, so that a following exact
+    join shuffles little. It lets a few others through, and all of them once ids outnumber its bits."""
+    name = ids.columns[0]
+    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
+    words = ids.select(F.floor(place / 32).alias("_word"), bit.alias("_bit"))
+    words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    own = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    marked = rows.withColumn("_at", own)
+    joined = marked.join(F.broadcast(words), F.floor(F.col("_at") / 32) == F.col("_word"))
+    return joined.filter(F.expr("shiftright(_bits, cast(pmod(_at, 32) as int)) & 1 = 1")).select(*rows.columns)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of `edges` (a, b): label is the smallest node reachable. Each round every node goes to its
+    smallest neighbour and the edges are contracted; the rounds are about the logarithm of the longest path."""
+    both = edges.select("a", "b").filter("a <> b").distinct()
+    label = None
+    while True:
+        both = cut_lineage(both)
+        if both.isEmpty():
+            break
+        ways = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = cut_lineage(ways.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")))
+        if label is None:
+            label = step.select("node", F.col("to").alias("label"))
+        else:
+            onward = step.select(F.col("node").alias("label"), "to")
+            label = label.join(onward, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        label = cut_lineage(label)
+        a, b = (step.select(F.col("node").alias(x), F.col("to").alias(f"_{x}")) for x in "ab")
+        both = both.join(a, "a").join(b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct()
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+    return label

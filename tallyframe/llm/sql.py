@@ -19,6 +19,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP4 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS x FROM d),
+n AS (SELECT doc_id, len(x)::BIGINT AS n, x FROM s),
+p AS (SELECT doc_id, n, unnest(x) AS g FROM n),
+pairs AS (SELECT a.doc_id AS i, b.doc_id AS j FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+ways AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs),
+reach AS (SELECT i AS doc_id, j AS other FROM ways UNION SELECT r.doc_id, w.j FROM reach r JOIN ways w ON w.i = r.other)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.other), n.doc_id)) AS component_id
+FROM n LEFT JOIN reach r USING (doc_id) GROUP BY n.doc_id, n.n
+"""
+
 _CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", r"\x{80}-\x{10FFFF}", "0-9", None, "#*$%&|<>"]  # None: all others
 
 
