@@ -9,6 +9,7 @@ from tallyframe.llm import sql
 from tallyframe.llm.decontaminate import found_phrases
 from tallyframe.llm.jaccard import jaccard_components
 from tallyframe.llm.quality import judged
+from tallyframe.llm.repeats import without_repeats
 from tallyframe.llm.rows import identified, table, with_ids
 
 
@@ -26,10 +27,18 @@ def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = identified(table(spark, sf, "documents"), "doc_id", "text")
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return without_repeats(docs, carry=("doc_id",)).select(
+        "doc_id", (removed + F.octet_length("kept")).alias("n_bytes"), removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = judged(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-Q = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op9_quality_rules)}
-O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op9_quality_rules": sql.OP9}
+Q = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op9_quality_rules)}
+O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}

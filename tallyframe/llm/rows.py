@@ -132,18 +132,21 @@ def byte_map(words: str, lower: bool = True) -> np.ndarray:
     return out
 
 
-def bitmap_filter(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 22) -> DataFrame:
+def bitmap_filter(rows: DataFrame, key: str, ids: DataFrame, bits: int = 1 << 22, apart: bool = False):
     """Rows whose key may be in the one column of `ids`: a bitmap of fixed size (half a megabyte) is broadcast, so that a following exact
-    join shuffles little. It lets a few others through, and all of them once ids outnumber its bits."""
+    join shuffles little. It lets a few others through, and all of them once ids outnumber its bits. `apart`: also the rows surely not among them."""
     name = ids.columns[0]
     place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(32)).cast("int"))
     words = ids.select(F.floor(place / 32).alias("_word"), bit.alias("_bit"))
     words = words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    words = cut_lineage(words) if apart else words
     own = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
     marked = rows.withColumn("_at", own)
-    joined = marked.join(F.broadcast(words), F.floor(F.col("_at") / 32) == F.col("_word"))
-    return joined.filter(F.expr("shiftright(_bits, cast(pmod(_at, 32) as int)) & 1 = 1")).select(*rows.columns)
+    joined = marked.join(F.broadcast(words), F.floor(F.col("_at") / 32) == F.col("_word"), "left" if apart else "inner")
+    bit_set = F.coalesce(F.expr("shiftright(_bits, cast(pmod(_at, 32) as int)) & 1 = 1"), F.lit(False))
+    found = joined.filter(bit_set).select(*rows.columns)
+    return (found, joined.filter(~bit_set).select(*rows.columns)) if apart else found
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -33,6 +33,21 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.other), n.doc
 FROM n LEFT JOIN reach r USING (doc_id) GROUP BY n.doc_id, n.n
 """
 
+#: Windows over the hex of the bytes; a byte is gone if a repeated window starts at most 99 bytes before it.
+OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM d WHERE len(h) >= 200),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substring(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER p + 100 THEN 0 ELSE 1 END AS fresh FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY ALL),
+per AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, list(a ORDER BY a) AS la, list(b ORDER BY a) AS lb FROM spans GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN la IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(la) + 2), lambda x:
+    substring(h, 2 * CASE WHEN x = 1 THEN 0 ELSE lb[x - 1] END + 1, 2 * (CASE WHEN x > len(la) THEN len(h) // 2 ELSE la[x] END - CASE WHEN x = 1 THEN 0 ELSE lb[x - 1] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN per USING (doc_id)
+"""
+
 _CLASSES = ["a-z", r"\x20\x09-\x0D", "A-Z", r"\x{80}-\x{10FFFF}", "0-9", None, "#*$%&|<>"]  # None: all others
 
 
