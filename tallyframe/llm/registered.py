@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import sql
 from tallyframe.llm.decontaminate import found_phrases
 from tallyframe.llm.jaccard import jaccard_components
+from tallyframe.llm.packing import packed
+from tallyframe.llm.planes import read_ids, write_ids
 from tallyframe.llm.quality import judged
 from tallyframe.llm.repeats import without_repeats
 from tallyframe.llm.rows import identified, table, with_ids
 
 
+def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = identified(table(spark, sf, "documents"), "doc_id", "text")
+    return with_ids(docs, packed(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = identified(table(spark, sf, "documents"), "doc_id", "text")
     return with_ids(docs, jaccard_components(docs), "component").withColumnRenamed("component", "component_id")
@@ -35,10 +44,20 @@ def op6_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_bit_plane_output(spark: SparkSession, sf: str) -> DataFrame:
+    docs = identified(table(spark, sf, "documents"), "doc_id", "text")
+    folder, manifest = write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return with_ids(docs, read_ids(folder, manifest).drop("ids"))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = judged(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-Q = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op9_quality_rules)}
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
+Q = {f.__name__: f for f in (op2_curve_packing, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op9_quality_rules, pipeline)}
 O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}

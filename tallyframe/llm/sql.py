@@ -36,8 +36,9 @@ FROM n LEFT JOIN reach r USING (doc_id) GROUP BY n.doc_id, n.n
 #: Windows over the hex of the bytes; a byte is gone if a repeated window starts at most 99 bytes before it.
 OP6 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM d WHERE len(h) >= 200),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5_number(substring(h, 2 * i + 1, 200)) ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+l AS (SELECT doc_id, list_transform(range(0, len(h) // 2 - 99), lambda x: md5_number(substring(h, 2 * x + 1, 200))) AS x FROM d WHERE len(h) >= 200),
+w AS (SELECT doc_id, unnest(range(0, len(x))) AS i, unnest(x) AS x FROM l),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
 g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER p + 100 THEN 0 ELSE 1 END AS fresh FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
 spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY ALL),
