@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm import sql
 from tallyframe.llm.decontaminate import found_phrases
 from tallyframe.llm.jaccard import jaccard_components
+from tallyframe.llm.language import fitted, identified_languages, remainder
 from tallyframe.llm.packing import packed
 from tallyframe.llm.planes import read_ids, write_ids
 from tallyframe.llm.quality import judged
@@ -17,6 +18,12 @@ from tallyframe.llm.repeats import without_repeats
 from tallyframe.llm.rows import identified, table, with_ids
 
 
+def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    out = identified_languages(docs, fitted(docs))
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
     docs = identified(table(spark, sf, "documents"), "doc_id", "text")
     return with_ids(docs, packed(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids"))
@@ -59,5 +66,5 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-Q = {f.__name__: f for f in (op2_curve_packing, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op9_quality_rules, pipeline)}
+Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op9_quality_rules, pipeline)}
 O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}
