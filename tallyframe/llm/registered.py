@@ -14,8 +14,12 @@ from tallyframe.llm.language import fitted, identified_languages, remainder
 from tallyframe.llm.packing import packed
 from tallyframe.llm.planes import read_ids, write_ids
 from tallyframe.llm.quality import judged
+from tallyframe.llm.quotes import as_mail, linked
 from tallyframe.llm.repeats import without_repeats
-from tallyframe.llm.rows import identified, table, with_ids
+from tallyframe.llm.rollups import Rollup, counted, new_folder
+from tallyframe.llm.rows import identified, small_batches, table, with_ids
+from tallyframe.llm.urls import judged_urls
+from tallyframe.session import checkpoint_dir, cut_lineage
 
 
 def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +33,13 @@ def op2_curve_packing(spark: SparkSession, sf: str) -> DataFrame:
     return with_ids(docs, packed(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return judged_urls(table(spark, sf, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     docs = identified(table(spark, sf, "documents"), "doc_id", "text")
     return with_ids(docs, jaccard_components(docs), "component").withColumnRenamed("component", "component_id")
@@ -57,14 +68,43 @@ def op7_bit_plane_output(spark: SparkSession, sf: str) -> DataFrame:
     return with_ids(docs, read_ids(folder, manifest).drop("ids"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all conversations, each message as a reply by mail that quotes the message before it (the table itself holds no quotations)."""
+    messages = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return linked(as_mail(messages))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     out = judged(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_token_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document is inserted in four batches, one of which comes twice; then every count is revised to hold an end id, and later copies of
+    a text are deleted."""
+    small_batches(spark)
+    version = "byte_bpe_50k"
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source").withColumn("digest", F.md5(F.encode("text", "UTF-8")))
+    rows = cut_lineage(counted(docs, public_tokenizers.path(f"{version}.json"), True, ("doc_id", "digest", "lang", "source")))
+    first = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = rows.join(first.select("digest", "first"), "digest").filter("doc_id <> first")
+    none = F.lit(None).cast("long")
+
+    def changes(of: DataFrame, kind: str, tokens, old=none) -> DataFrame:
+        return of.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), tokens.alias("tokens"), old.alias("old_tokens"))
+
+    store = Rollup(spark, new_folder(checkpoint_dir(spark)))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    for k in (0, 1, 2, 3, 1):
+        store.commit(f"load-{k}", changes(rows.filter(part == k), "insert", F.col("tokens")))
+    store.commit("end-id", changes(rows, "revise", F.col("tokens") + 1, F.col("tokens")))
+    store.commit("copies", changes(copies, "delete", F.col("tokens") + 1))
+    return store.totals()
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op9_quality_rules, pipeline)}
-O = {"op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}
+Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op3_url_filters, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op8_quotation_linking, op9_quality_rules, op10_token_rollups, pipeline)}
+O = {"op3_url_filters": sql.OP3, "op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}
