@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import cut_lineage
+
 SPACE = r"\x20\x09-\x0D"
 CLASSES = ["lower", "space", "upper", "beyond_ascii", "digit", "mark", "symbol"]
 RULES = {"min_chars": 200, "min_words": 50, "max_class_distance": 0.3, "max_word_distance": 0.5}
@@ -65,7 +67,12 @@ def class_counts(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Lower-case letter runs, each with a space before and behind."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  ")), F.lit(" "))
+
+
+def n_plain(plain: Column) -> Column:
+    """How many words plain_words holds: one more than the double spaces between them."""
+    return F.when(F.octet_length(plain) > 2, F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit("  "), F.lit(" "))) + 1).otherwise(F.lit(0))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -83,13 +90,14 @@ def distance(p: Column, q: Column) -> Column:
 def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     """(lang, ref_classes, ref_words, ref_counts): at most MAX_LANGUAGES + 1 rows; the row without lang is the sum of all."""
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.select("lang", class_counts(F.col("text")).alias("c"))
-    sums = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col("c")[i]).alias(n) for i, n in enumerate(CLASSES)])
+    marked = rows.select("lang", class_counts(F.col("text")).alias("c"), let(plain_words(F.col("text")), n_plain).alias("w"))
+    sums = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), *[F.sum(F.col("c")[i]).alias(n) for i, n in enumerate(CLASSES)])
+    sums = cut_lineage(sums)
     exploded = rows.select("lang", F.explode(F.split(plain_words(F.col("text")), " +")).alias("word")).filter("word <> ''")
     counts = exploded.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     turn = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= common)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("words"))
+    top = cut_lineage(counts.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= common))
+    totals = sums.select("lang", "words")
     ranked = sums.filter(F.col("lang").isNotNull() & (F.col("docs") >= MIN_DOCS)).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
     kept = ranked.select("lang")
 
@@ -124,10 +132,9 @@ def judged(docs: DataFrame, rules: dict | None = None, common: int = COMMON_WORD
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     rows = rows.join(F.broadcast(known), rows["lang"] == known["_ref"], "left").crossJoin(F.broadcast(whole))
     ref = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in ("ref_classes", "ref_words", "ref_counts")}
-    n_plain = (F.octet_length("_plain") - F.octet_length(F.replace(F.col("_plain"), F.lit("  "), F.lit(" "))))
     own_counts = let(F.transform(ref["ref_words"], lambda w: (
         (F.octet_length("_plain") - F.octet_length(F.replace(F.col("_plain"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2))),
-        lambda c: F.concat(c, F.array(F.greatest(F.lit(0.0), n_plain - F.aggregate(c, F.lit(0.0), lambda s, x: s + x)))))
+        lambda c: F.concat(c, F.array(F.greatest(F.lit(0.0), n_plain(F.col("_plain")) - F.aggregate(c, F.lit(0.0), lambda s, x: s + x)))))
     n_words, chars = F.col("_w")["n_words"], F.aggregate("_classes", F.lit(0), lambda s, x: s + x)
     as_double = F.transform("_classes", lambda x: x.cast("double"))
     rows = rows.select(
