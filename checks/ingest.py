@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions import clean as K
 from tallyframe.operators import search
+from tallyframe.session import checkpoint_dir
 from tallyframe.sources import landed
 from tallyframe.sources.boxscore import names as part_names
 from tallyframe.sources.boxscore import table
@@ -42,6 +46,29 @@ def keyed_json(spark, sf):
     return landed.keyed_documents(docs, "struct<gp:double,team:string>").select("key", "doc.*")
 
 
+@query("keyed_json_files", """SELECT 'k"' || l_orderkey || ':' || l_linenumber AS key, l_quantity::BIGINT AS qty, l_returnflag AS mode FROM lineitem""")
+def keyed_json_files(spark, sf):
+    """Written as keyed files and read back; keys with quotation marks."""
+    rows = table(spark, sf, "lineitem").select(
+        F.concat(F.lit('k"'), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("key"),
+        F.col("l_quantity").cast("bigint").alias("qty"), F.col("l_returnflag").alias("mode"))
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    landed.write_keyed_json(rows, path, "key")
+    return landed.read_keyed_json(spark, path, "struct<qty:bigint,mode:string>").select("key", "doc.*")
+
+
+@query("stored_tables", """SELECT n_nationkey, n_name, true AS same_types, true AS same_names, false AS other_types, false AS missing FROM nation""")
+def stored_tables(spark, sf):
+    """A stored table is taken up by names, by names and types, and not with other types or where there is none."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    landed.write_table(rows, path)
+    other = T.StructType([T.StructField("n_nationkey", T.StringType()), T.StructField("n_name", T.StringType())])
+    facts = {"same_types": landed.read_if_matching(spark, path, rows.schema), "same_names": landed.read_if_matching(spark, path, ["n_name", "n_nationkey"]),
+             "other_types": landed.read_if_matching(spark, path, other), "missing": landed.read_if_matching(spark, path + "-none", rows.columns)}
+    return facts["same_types"].withColumns({k: F.lit(v is not None) for k, v in facts.items()})
+
+
 @query("prospect_json", f"""SELECT CASE WHEN s_nationkey % 2 = 0 THEN 2000 + s_nationkey ELSE 2020 END AS class_year, s_suppkey AS id, s_name AS name FROM supplier""")
 def prospect_json(spark, sf):
     """Bare lists named by class, wrapped objects without a year in the name; one file text per supplier."""

@@ -270,15 +270,32 @@ def career_eras(spark, sf):
 
 @query("season_leaders", f"""WITH {S.scored()}, lab AS (SELECT *, {S.role()} AS role FROM scored WHERE gp * mpg >= 300),
 b AS (SELECT player_id, season, role, ts_pct AS sort_value, apfv, row_number() OVER (ORDER BY ts_pct ASC, apfv ASC, player_id) AS place FROM lab WHERE season = '1998-99' AND role = 'Rim Attacker')
-SELECT player_id, season, place, round(sort_value, 6) AS sort_value, round(apfv, 6) AS apfv FROM b WHERE place BETWEEN 6 AND 10""")
+SELECT player_id, season, place, round(sort_value, 6) AS sort_value, round(apfv, 6) AS apfv
+FROM (SELECT *, least(2, greatest(1, ceil(count(*) OVER () / 5.0))) AS page FROM b) WHERE place BETWEEN 5 * page - 4 AND 5 * page""")
 def season_leaders(spark, sf):
-    """Second page of one role's players of a season by a box-score key, ascending."""
+    """Second page (the last one if there is no second) of one role's players of a season by a box-score key, ascending."""
     scored = C.season_scores(C.add_labels(features(spark, sf)))
     items = profiles.leader_items(scored, "_pctile").where("season = '1998-99'")
     out = profiles.leaders(items, "box_ts_pct", False, "Rim Attacker", page=2, page_size=5, games="gp")
     return r6(out.select("player_id", "season", "place", "sort_value", "apfv"))
 
 
+@query("customers_past_the_end", """SELECT c_custkey, place FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, count(*) OVER () AS n FROM customer)
+WHERE place > (n - 1) // 7 * 7""")
+def customers_past_the_end(spark, sf):
+    """A page far beyond the end is the last page, also where places are found by ranges."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_acctbal")
+    out = profiles.page_of(rows, [F.col("c_acctbal").desc(), F.col("c_custkey")], 10**9, 7)
+    return out.select("c_custkey", F.col("place").cast("bigint").alias("place"))
+
+
+@query("customer_places", """SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS place FROM customer""")
+def customer_places(spark, sf):
+    """Places of all rows by range-sorted partitions."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey")
+    return profiles.range_places(rows, [F.col("c_nationkey"), F.col("c_custkey")]).select("c_custkey", F.col("place").cast("bigint").alias("place"))
+
+
 @query("leader_totals", f"""WITH {S.scored()}, lab AS (SELECT *, {S.role()} AS role FROM scored WHERE gp * mpg >= 300)
 SELECT count(*) AS total, ceil(count(*) / 25.0)::BIGINT AS total_pages, array_to_string(list_sort(list(DISTINCT role)), '|') AS roles FROM lab""")
 def leader_totals(spark, sf):

@@ -67,8 +67,13 @@ rates AS (SELECT box.*,
   FROM box JOIN tot USING (season, team))"""
 
 
+def rounded(v: str) -> str:
+    """Ranks are taken on 37 binary digits, so that sums taken in another order still tie."""
+    return f"(({v})::DOUBLE * 65537::DOUBLE - (({v})::DOUBLE * 65537::DOUBLE - ({v})::DOUBLE))"
+
+
 def avg_rank(v: str, part: str = "") -> str:
-    v = f"round(({v}) * 1e9)"
+    v = rounded(v)
     by = f"PARTITION BY {part}" if part else ""
     tie = f"PARTITION BY {part}, {v}" if part else f"PARTITION BY {v}"
     return f"""((rank() OVER ({by} ORDER BY {v}) + rank() OVER ({by} ORDER BY {v}) - 1 + count(*) OVER ({tie}))::DOUBLE / 2.0
@@ -76,7 +81,7 @@ def avg_rank(v: str, part: str = "") -> str:
 
 
 def share_le(v: str, part: str = "") -> str:
-    v = f"round(({v}) * 1e9)"
+    v = rounded(v)
     by = f"PARTITION BY {part}" if part else ""
     return f"(cume_dist() OVER ({by} ORDER BY {v}))"
 

@@ -104,6 +104,14 @@ def challenge_pool(spark, sf):
     return r6(U.challenge_pool(scored(spark, sf)).select("unit_id", "synergy_score"))
 
 
+@query("tied_pool", """WITH v AS (SELECT o_orderkey AS unit_id, o_orderkey % 7 AS score FROM orders),
+s AS (SELECT list(score ORDER BY score) AS l FROM v) SELECT unit_id, score::DOUBLE AS score FROM v, s WHERE score <= l[round_even(0.4 * (len(l) - 1), 0)::INT + 1]""")
+def tied_pool(spark, sf):
+    """The pool below a rank over values that nearly all tie."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_orderkey") % 7).cast("double").alias("score"))
+    return U.challenge_pool(rows, "score").select("unit_id", "score")
+
+
 def sides(spark, sf, edges=None):
     def build():
         rows = K.rows(spark, sf)

@@ -40,7 +40,8 @@ def unit_sides(members: DataFrame, shape: DataFrame, edges: DataFrame | None, ro
 
 
 def member_similarity(q: pd.DataFrame, h: pd.DataFrame) -> np.ndarray:
-    """Similarity of every target player to every historical player: list score, else same role, else little."""
+    """Similarity of every target player to every historical player: list score, else same role, else little; nothing if no player
+    has either."""
     def side(df):
         out = {}
         for ids, roles, near, vals in zip(df["ids"], df["roles"], df["near_ids"], df["near_vals"]):
@@ -52,7 +53,8 @@ def member_similarity(q: pd.DataFrame, h: pd.DataFrame) -> np.ndarray:
     li, ri = {p: i for i, p in enumerate(left)}, {p: i for i, p in enumerate(right)}
     lr = np.array([r or "" for r, _ in left.values()], dtype=object)
     rr = np.array([r or "" for r, _ in right.values()], dtype=object)
-    s = np.where((lr[:, None] == rr[None, :]) & (lr[:, None] != ""), 0.35, 0.15)
+    known = any(role or near for role, near in [*left.values(), *right.values()])
+    s = np.where((lr[:, None] == rr[None, :]) & (lr[:, None] != ""), 0.35, 0.15 if known else 0.0)
     for p, (_, near) in right.items():
         for o, v in near.items():
             if o in li:

@@ -48,6 +48,16 @@ def sample_weight(target: Column) -> Column:
     return F.when((target >= 0.55) | (target <= 0.45), 1.5).otherwise(0.75)
 
 
+def usable(rows: DataFrame) -> DataFrame:
+    """Rows with an outcome; a feature that is no finite number counts as 50 (fixed), rows without a season are one season."""
+    def finite(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+
+    features = {c: F.when(finite(c), F.col(c).cast("double")).otherwise(F.lit(50.0)) for c in COLUMNS[:-1]}
+    return rows.where(finite(COLUMNS[-1])).withColumns({**features, "season": F.coalesce(F.col("season").cast("string"), F.lit(""))})
+
+
 def line_column(line: np.ndarray, columns: list[str]) -> Column:
     return sum((F.col(c) * float(b) for c, b in zip(columns, line[1:]) if b != 0.0), F.lit(float(line[0])))
 
@@ -134,7 +144,7 @@ def evaluate(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, p: TrainParams = TrainParams()) -> tuple[DataFrame, dict]:
     """Out-of-fold predictions per unit: quality, linear (quality + fit) and boosted."""
-    rows = cut_lineage(rows.withColumn("weight", sample_weight(F.col("win_pct"))))
+    rows = cut_lineage(usable(rows).withColumn("weight", sample_weight(F.col("win_pct"))))
     m = MO.season_moments(rows, COLUMNS)
     target = MO.target_line(len(COLUMNS), len(COLUMNS) - 1)
     fold_of = MO.grouped_folds({s: int(v[1][0, 0]) for s, v in m.items()}, p.folds)

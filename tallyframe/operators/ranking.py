@@ -4,11 +4,10 @@ Every percentile definition is arithmetic on three counts per row and metric: va
 (`lt`), values at or below (`le`) and values in the group (`n`). They are found in long form
 (one row per row and metric), so that many metrics share one shuffle and one sort.
 
-Groups beyond `limit` rows are cut at values taken from a hash sample of the rows (same rows in
-every attempt of a task). A cut value gets a piece of its own and the open intervals between cuts
-are ranked separately; piece counts then shift local counts to group counts. The cuts decide only how
-even the pieces are, never the result. A value repeated very often is a cut with near certainty; its
-rows all share the same counts and are spread over salted partitions.
+Groups beyond `limit` rows are ranked by their distinct values: equal values are counted before the sort, the counts are
+sorted in ranges across all groups, running sums within a range are shifted by the sums of the ranges before it, and
+the counts are joined back to the rows. Null groups are groups, and null values take no part in any sort. The limit decides
+the way only, never the result.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .attach import attach_groups, rows_per_group
 
 LIMIT = 1_000_000
-OVERSAMPLE = 8
 SALTS = 64
 Counts = Callable[[Column, Column, Column], Column]
 
@@ -47,55 +46,37 @@ def clean_value(c: Column) -> Column:
     return F.when(F.isnan(v), None).otherwise(v + F.lit(0.0))
 
 
-def rank_value(c: Column) -> Column:
-    """What ranks are taken on: the value in units of 1e-9. Sums of doubles depend on the order they are added in; values
-    that differ only by that still tie, in every run."""
-    return F.rint(clean_value(c) * 1e9)
-
-
-# rank_value as text: long lists of columns are cheaper to build as expressions
-RANK_SQL = "rint(nanvl(double(`{m}`), null) * 1e9D)"
-
-
-def _cuts(df: DataFrame, values: dict[str, Column], group: list[str], key: list[str], limit: int) -> DataFrame:
-    """Per group: an array of cut values per name (empty for groups within the limit)."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
-    sampled = attach_groups(df, sizes, group).where(
-        (F.col("_n") > limit) & (draw < F.lit(OVERSAMPLE / limit)))
-    cuts = sampled.groupBy(*group).agg(*[
-        F.array_distinct(F.filter(F.sort_array(F.collect_list(v)), lambda x, i: i % OVERSAMPLE == OVERSAMPLE - 1))
-        .alias(f"_cut_{name}") for name, v in values.items()])
-    return cuts
+# fixed: ranks are taken on values rounded to 37 binary digits (about 11 decimal ones), whatever their size. Sums of doubles depend on the order
+# they are added in; values that differ only by that still tie
+ROUND_SQL = "({v} * 65537D - ({v} * 65537D - {v}))"
+# as text: long lists of columns are cheaper to build as expressions
+RANK_SQL = ROUND_SQL.format(v="(nanvl(double(`{m}`), null) + 0D)")
 
 
 def rank_value(c: Column) -> Column:
-    """What ranks are taken on: the value in units of 1e-9. Sums of doubles depend on the order they are added in; values
-    that differ only by that still tie, in every run."""
-    return F.rint(clean_value(c) * 1e9)
-
+    v = clean_value(c)
+    return v * 65537.0 - (v * 65537.0 - v)
 
-# rank_value as text: long lists of columns are cheaper to build as expressions
-RANK_SQL = "rint(nanvl(double(`{m}`), null) * 1e9D)"
 
+def match(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    condition = None
+    for c in on:
+        same = left[c].eqNullSafe(other[f"_r_{c}"])
+        condition = same if condition is None else condition & same
+    return left.join(other, condition, how).drop(*[f"_r_{c}" for c in on])
 
-def _cuts(df: DataFrame, values: dict[str, Column], group: list[str], key: list[str], limit: int) -> DataFrame:
-    """Per group: an array of cut values per name (empty for groups within the limit)."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
-    sampled = attach_groups(df, sizes, group).where(
-        (F.col("_n") > limit) & (draw < F.lit(OVERSAMPLE / limit)))
-    cuts = sampled.groupBy(*group).agg(*[
-        F.array_distinct(F.filter(F.sort_array(F.collect_list(v)), lambda x, i: i % OVERSAMPLE == OVERSAMPLE - 1))
-        .alias(f"_cut_{name}") for name, v in values.items()])
-    return cuts
 
-
-def _piece(cuts: Column, value: Column) -> Column:
-    """2 * (cuts below the value) for the open intervals, one more for a value that is a cut."""
-    below = F.size(F.filter(cuts, lambda x: x < value))
-    at = F.exists(cuts, lambda x: x == value).cast("int")
-    return F.coalesce(2 * below + at, F.lit(0))
+def running(counts: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
+    """`counts` (one row per group and value) with _le, the sum of weights up to the value, and _n, the group's sum. The sort is cut into ranges
+    wherever it pleases, also within a group."""
+    ordered = cut_lineage(counts.orderBy(*group, value).withColumn("_part", F.spark_partition_id()))
+    local = ordered.withColumn("_local", F.sum(weight).over(Window.partitionBy("_part", *group).orderBy(value)))
+    sums = ordered.groupBy("_part", *group).agg(F.sum(weight).alias("_s"))  # as many rows as ranges and groups
+    whole = Window.partitionBy(*group)
+    sums = sums.select("_part", *group, (F.sum("_s").over(whole.orderBy("_part")) - F.col("_s")).alias("_off"), F.sum("_s").over(whole).alias("_n"))
+    return match(local, sums, ["_part", *group]).withColumn("_le", F.col("_off") + F.col("_local")).drop("_part", "_local", "_off")
 
 
 def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: list[str], key: list[str],
@@ -109,39 +90,26 @@ def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: lis
     grouped = group or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
-    base = df
-    if split:
-        base = df.join(_cuts(df, {m: F.expr(v) for m, v in values.items()}, grouped, key, limit), grouped, "left")
-
-    piece = ("coalesce(2 * size(filter(`_cut_{m}`, _cut_item -> _cut_item < {v})) + int(exists(`_cut_{m}`, _cut_item -> _cut_item = {v})), 0)"
-             if split else "0")
-    entries = ", ".join(f"named_struct('m', {i}, 'v', {v}, 'b', {piece.format(m=m, v=v)})" for i, (m, v) in enumerate(values.items()))
+    entries = ", ".join(f"named_struct('m', {i}, 'v', {v})" for i, v in enumerate(values.values()))
     ids = list(dict.fromkeys([*grouped, *key]))
     keep = [c for c in df.columns if c not in ids]
     row = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in keep) + ")" if keep else "named_struct('_x', 1)"
     # the row itself travels with its first metric only
-    long = base.selectExpr(*ids, f"{row} AS row", f"explode(array({entries})) AS e").selectExpr(
-        *ids, "if(e.m = 0, row, null) AS row", "e.m", "e.v", "e.b")
+    long = df.selectExpr(*ids, f"{row} AS row", f"explode(array({entries})) AS e").selectExpr(
+        *ids, "if(e.m = 0, row, null) AS row", "e.m", "e.v")
 
-    part = [*grouped, "m", "b"]
+    part = [*grouped, "m"]
     if split:
-        single = F.col("b") % 2 == 1
-        long = long.withColumn("s", F.when(single, F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0))
-        pieces = long.groupBy(*part).agg(F.count("v").alias("cnt"))
-        line = Window.partitionBy(*grouped, "m").orderBy("b")
-        pieces = pieces.select(*part, "cnt", (F.sum("cnt").over(line) - F.col("cnt")).alias("off"),
-                               F.sum("cnt").over(Window.partitionBy(*grouped, "m")).alias("n"))
-        w = Window.partitionBy(*part, "s").orderBy(F.col("v").asc_nulls_last())
-        ranked = long.withColumns({
-            "lt": F.rank().over(w) - 1,
-            "le": F.count("v").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        }).join(pieces, part)
-        ranked = ranked.withColumns({
-            "lt": F.col("off") + F.when(single, 0).otherwise(F.col("lt")),
-            "le": F.col("off") + F.when(single, F.col("cnt")).otherwise(F.col("le")),
-        })
+        counts = long.where("v is not null").groupBy(*part, "v").agg(F.count(F.lit(1)).alias("cnt"))
+        placed = running(counts, part, "v", "cnt").select(
+            *part, "v", (F.col("_le") - F.col("cnt")).alias("lt"), F.col("_le").alias("le"), F.col("_n").alias("n"))
+        known, empty = long.where("v is not null"), long.where("v is null")
+        none = F.lit(None).cast("bigint")
+        ranked = match(known, placed, [*part, "v"]).unionByName(empty.withColumns({"lt": none, "le": none, "n": none}))
     else:
-        w = Window.partitionBy(*part).orderBy(F.col("v").asc_nulls_last())
+        # rows without value are spread: they are not ranked
+        long = long.withColumn("s", F.when(F.col("v").isNull(), 1 + F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0))
+        w = Window.partitionBy(*part, "s").orderBy("v")
         ranked = long.withColumns({
             "lt": F.rank().over(w) - 1,
             "le": F.count("v").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
@@ -170,22 +138,17 @@ def with_ordinal(df: DataFrame, value: str, group: list[str], key: list[str], ou
     grouped = group or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
-    place = F.struct(rank_value(F.col(value)).alias("v"), *[F.col(k) for k in key])
     if not split:
         w = Window.partitionBy(*grouped).orderBy(rank_value(F.col(value)), *key)
         full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return df.withColumns({out: F.row_number().over(w), size: F.count(F.lit(1)).over(full)}).drop("_all")
-    cuts = _cuts(df, {"place": place}, grouped, key, limit)
-    cut = df.join(cuts, grouped, "left").withColumn(
-        "_b", F.coalesce(F.size(F.filter(F.col("_cut_place"), lambda x: x < place)), F.lit(0))).drop("_cut_place")
-    pieces = cut.groupBy(*grouped, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    line = Window.partitionBy(*grouped).orderBy("_b")
-    pieces = pieces.select(*grouped, "_b", (F.sum("_cnt").over(line) - F.col("_cnt")).alias("_off"),
-                           F.sum("_cnt").over(Window.partitionBy(*grouped)).alias(size))
-    w = Window.partitionBy(*grouped, "_b").orderBy(rank_value(F.col(value)), *key)
-    local = cut.withColumn("_rn", F.row_number().over(w))
-    return (local.join(pieces, [*grouped, "_b"])
-            .withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b", "_all"))
+    ordered = cut_lineage(df.withColumn("_v", rank_value(F.col(value))).orderBy(*grouped, "_v", *key).withColumns(
+        {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sums = ordered.groupBy("_part", *grouped).agg(F.count(F.lit(1)).alias("_s"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*grouped)
+    sums = sums.select("_part", *grouped, "_first", (F.sum("_s").over(whole.orderBy("_part")) - F.col("_s")).alias("_off"), F.sum("_s").over(whole).alias(size))
+    return (match(ordered, sums, ["_part", *grouped])
+            .withColumn(out, F.col("_off") + F.col("_at") - F.col("_first") + 1).drop("_off", "_first", "_at", "_part", "_v", "_all"))
 
 
 def with_zscores(df: DataFrame, metrics: list[str], group: list[str], suffix: str = "_z", sample: bool = False,
@@ -215,23 +178,13 @@ def rank_in_reference(values: DataFrame, reference: DataFrame, on: list[str], va
         reference.select(*on, F.lit(None).cast("bigint").alias("_vid"), rank_value(F.col(value)).alias("v"),
                          F.lit(1).alias("ref"))).where("v is not null")
     counts = line.groupBy(*on, "v").agg(F.sum("ref").alias("c"), F.count(F.lit(1)).alias("rows"))
-    split = rows_per_group(counts, on) > limit
-    part = list(on)
-    if split:
-        cuts = _cuts(counts, {"v": F.col("v")}, on, [*on, "v"], limit)
-        counts = counts.join(cuts, on, "left").withColumn(
-            "_b", F.coalesce(F.size(F.filter(F.col("_cut_v"), lambda x: x < F.col("v"))), F.lit(0)))
-        sums = counts.groupBy(*on, "_b").agg(F.sum("c").alias("_sum"))
-        sums = sums.select(*on, "_b", (F.sum("_sum").over(Window.partitionBy(*on).orderBy("_b"))
-                                       - F.col("_sum")).alias("_off"))
-        counts = counts.join(sums, [*on, "_b"])
-        part = [*on, "_b"]
-    w = Window.partitionBy(*part).orderBy("v")
-    le = F.sum("c").over(w) + (F.col("_off") if split else F.lit(0))
-    counts = counts.select(*on, "v", le.alias("le"), (le - F.col("c")).alias("lt"))
+    if rows_per_group(counts, on) > limit:
+        counts = running(counts, on, "v", "c")
+    else:
+        counts = counts.withColumn("_le", F.sum("c").over(Window.partitionBy(*on).orderBy("v")))
+    counts = counts.select(*on, "v", F.col("_le").alias("le"), (F.col("_le") - F.col("c")).alias("lt"))
     sizes = reference.groupBy(*on).agg(F.count(clean_value(F.col(value))).alias("n"))
-    ranked = (values.withColumn("v", rank_value(F.col(value))).join(counts, [*on, "v"], "left")
-              .join(sizes, on, "left"))
+    ranked = match(match(values.withColumn("v", rank_value(F.col(value))), counts, [*on, "v"], "left"), sizes, on, "left")
     lt, le, n = (F.col(c).cast("double") for c in ("lt", "le", "n"))
     pct = F.when(F.col("n") > 0, formula(lt, le, n))
     return ranked.withColumn(out, F.coalesce(pct, F.lit(default))).drop("lt", "le", "n", "v")

@@ -12,17 +12,35 @@ from ..operators import career as C
 from ..operators.pairs import similar_players
 from ..session import cut_lineage
 
+TOP_ROWS = 10_000  # pages ending above this place are found without sorting everything
 # the sort keys of the leaderboard
 BOX_KEYS = ["pts_per36", "ast_per36", "reb_per36", "stl_per36", "blk_per36", "tov_per36", "ts_pct", "efg_pct",
             "fg3a_rate", "fta_rate", "mpg"]
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
-    """One page of a sorted table with its 1-based place. Only the rows up to the page end are kept while sorting."""
+    """One page of a sorted table with its 1-based place; a page past the end is the last page. Near the top only the rows
+    up to the page end are kept while sorting, further down all rows are sorted in ranges."""
     start = (max(page, 1) - 1) * page_size
-    rows = df.orderBy(*order).limit(start + page_size)
-    w = Window.orderBy(*order)  # at most start + page_size rows
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") > start)
+    if start:
+        df = cut_lineage(df)
+        start = min(start, max(0, (df.count() - 1) // page_size * page_size))
+    if start + page_size > TOP_ROWS:
+        rows = range_places(df, order)
+    else:
+        rows = df.orderBy(*order).limit(start + page_size)
+        rows = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most TOP_ROWS rows
+    return rows.where((F.col("place") > start) & (F.col("place") <= start + page_size))
+
+
+def range_places(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The 1-based place of every row: range-sorted partitions are written once, and each partition's first place is the
+    count of rows before it (one row for each partition)."""
+    ordered = cut_lineage(df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return (ordered.join(F.broadcast(sizes), "_part")
+            .withColumn("place", (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int")).drop("_part", "_at", "_n", "_first", "_before"))
 
 
 def career_leaderboard(features: DataFrame, page: int = 1, page_size: int = 25, min_minutes: float = 300.0) -> DataFrame:

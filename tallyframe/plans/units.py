@@ -83,5 +83,6 @@ def challenge_pool(scored: DataFrame, value: str = "synergy_score", share: float
     """Units at or below the value at the rounded position share * (n - 1) of the sorted values."""
     from ..operators.ranking import with_ordinal
 
-    placed = with_ordinal(scored, value, [], ["unit_id"])
-    return placed.where(F.col("ord") - 1 <= F.bround(share * (F.col("ord_n") - 1), 0)).drop("ord", "ord_n")
+    placed = with_ordinal(scored.where(F.col(value).isNotNull()), value, [], ["unit_id"])
+    bar = placed.where(F.col("ord") - 1 == F.bround(share * (F.col("ord_n") - 1), 0)).agg(F.max(value).alias("_bar"))
+    return scored.crossJoin(F.broadcast(bar)).where(F.col(value) <= F.col("_bar")).drop("_bar")  # one row

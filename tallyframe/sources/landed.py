@@ -5,6 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,18 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
     df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
-def read_if_matching(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
-    """A stored table, unless its columns are not exactly the expected ones (then it has to be rebuilt)."""
+def read_if_matching(spark: SparkSession, path: str, columns: list[str] | T.StructType) -> DataFrame | None:
+    """A stored table, unless its columns (with a schema: their types too) are not exactly the expected ones; then it has to be rebuilt.
+    Only a missing or empty folder counts as no table; other errors are the caller's."""
     try:
         stored = spark.read.parquet(path)
-    except Exception:  # no table yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    if isinstance(columns, T.StructType):
+        have = {f.name: f.dataType for f in stored.schema.fields}
+        return stored.select(*columns.names) if have == {f.name: f.dataType for f in columns.fields} else None
     return stored.select(*columns) if sorted(stored.columns) == sorted(columns) else None
 
 
@@ -70,8 +77,22 @@ def read_keyed_json(spark: SparkSession, path: str, value_schema: str) -> DataFr
 
 
 def write_keyed_json(df: DataFrame, path: str, key: str) -> None:
-    """One {key, document} line per row."""
-    df.select(F.col(key).alias("key"), F.struct(*[c for c in df.columns if c != key]).alias("doc")).write.mode("overwrite").json(path)
+    """{key: document} files, one per partition, an entry a line; `read_keyed_json` reads them back. Rows without key are left out."""
+    def written(batches):
+        first = True
+        for pdf in batches:
+            lines = []
+            for entry in pdf["entry"]:
+                lines.append(("{" if first else ",") + entry)
+                first = False
+            yield pd.DataFrame({"value": lines})
+        if not first:
+            yield pd.DataFrame({"value": ["}"]})
+
+    name = F.to_json(F.array(F.col(key).cast("string")))
+    doc = F.to_json(F.struct(*[c for c in df.columns if c != key]))
+    entries = df.where(F.col(key).isNotNull()).select(F.concat(F.regexp_extract(name, r"(?s)^\[(.*)\]$", 1), F.lit(": "), doc).alias("entry"))
+    entries.mapInPandas(written, "value string").write.mode("overwrite").text(path)
 
 
 def rowset_rows(payloads: DataFrame, text: str, columns: dict[str, str], ids: list[str]) -> DataFrame:

@@ -51,3 +51,23 @@ def test_zscores_without_spread(spark):
     assert zero == {1: 0.0, 2: 0.0, 3: -1.0, 4: 1.0, 5: 0.0}
     sample = {r.id: r.v_z for r in R.with_zscores(df, ["v"], ["g"], sample=True, flat="unit").collect()}
     assert sample[1] == 0.0 and sample[4] == pytest.approx(1 / 2**0.5)
+
+
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_null_groups_mostly_null_values_one_value_and_tiny_values(spark, limit):
+    rng = np.random.default_rng(9)
+    n = 400
+    pdf = pd.DataFrame({"id": range(n), "g": rng.choice(["a", None], n), "rare": np.where(rng.random(n) < 0.9, np.nan, rng.normal(size=n)),
+                        "same": 2.5, "tiny": rng.permutation(n) * 1e-10})
+    df = spark.createDataFrame([(int(r.id), r.g, *(None if np.isnan(x) else float(x) for x in (r.rare, r.same, r.tiny))) for r in pdf.itertuples()],
+                               "id bigint, g string, rare double, same double, tiny double")
+    out = R.with_percentiles(df, ["rare", "same", "tiny"], ["g"], ["id"], limit=limit).toPandas().set_index("id").sort_index()
+    assert len(out) == n
+    for m in ("rare", "same", "tiny"):
+        want = (pdf.groupby("g", dropna=False)[m].rank(pct=True) * 100).fillna(50.0)
+        assert np.allclose(out[f"{m}_pctile"], want)
+    place = R.with_ordinal(df, "tiny", ["g"], ["id"], limit=limit).toPandas().set_index("id").sort_index()
+    assert len(place) == n and (place["ord"] == pdf.groupby("g", dropna=False)["tiny"].rank().astype(int)).all()
+    asked = df.selectExpr("id AS _vid", "g", "tiny AS value")
+    seen = R.rank_in_reference(asked, df.selectExpr("g", "tiny AS value"), ["g"], formula=R.pct_le, limit=limit).toPandas().set_index("_vid").sort_index()
+    assert len(seen) == n and np.allclose(seen["pct"], pdf.groupby("g", dropna=False)["tiny"].rank(pct=True) * 100)
