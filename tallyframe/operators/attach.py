@@ -20,11 +20,6 @@ def attach_groups(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame
     return attach_row(df, stats) if not keys else df.join(stats, keys, "left")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting: at most max_rows + 1 rows are read for the check."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def rows_per_group(df: DataFrame, keys: list[str]) -> int:
     """Size of the biggest group (partial counts, one number comes back)."""
     if not keys:

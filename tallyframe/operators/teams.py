@@ -142,9 +142,8 @@ def available_classes(records: DataFrame) -> DataFrame:
 
 def with_abbreviations(similar: DataFrame, metadata: DataFrame) -> DataFrame:
     """Team metadata on similarity rows; the metadata table has one row per team."""
-    from .attach import broadcast_if_small
 
     meta = metadata.select(F.col("team_id").alias("_t"), "abbreviation", F.col("team_name").alias("similar_name"))
     out = similar.withColumn("_t", F.split("similar_key", ":")[0].cast("int"))
-    return out.join(broadcast_if_small(meta), "_t", "left").withColumn(
+    return out.join(meta, "_t", "left").withColumn(
         "abbreviation", F.coalesce("abbreviation", F.lit(""))).drop("_t")

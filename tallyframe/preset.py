@@ -7,10 +7,6 @@ METRICS = [
     "pts_per36", "reb_per36", "ast_per36", "blk_per36", "stl_per36", "tov_per36",
     "fg3a_rate", "fta_rate", "ts_pct", "efg_pct", "ast_pct", "mpg",
 ]
-TOTALS = [
-    "gp", "min", "fgm", "fga", "fg_pct", "fg3m", "fg3a", "fg3_pct", "ftm", "fta", "ft_pct",
-    "oreb", "dreb", "reb", "ast", "stl", "blk", "tov", "pf", "pts",
-]
 PROSPECT_METRICS = [
     "mpg", "pts_per36", "reb_per36", "ast_per36", "blk_per36", "stl_per36",
     "ts_pct", "efg_pct", "fg3a_rate", "fta_rate",

@@ -42,10 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
+_stages: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and go on from there. The rows survive lost executors, every
-    later branch reads them instead of computing them again, and reads only the columns it needs."""
+    later branch reads them instead of computing them again, and reads only the columns it needs. The tables stay until
+    `drop_stages`."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    _stages.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables this process has written by `cut_lineage`, once all results that read them are stored. Returns their number."""
+    paths = [_stages.pop() for _ in range(len(_stages))]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in map(hadoop, paths):
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
