@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .attach import attach_groups, rows_per_group
+from .attach import attach_groups, match, rows_per_group
 
 LIMIT = 1_000_000
 SALTS = 64
@@ -58,16 +58,6 @@ def rank_value(c: Column) -> Column:
     return v * 65537.0 - (v * 65537.0 - v)
 
 
-def match(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join in which null keys are equal."""
-    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    condition = None
-    for c in on:
-        same = left[c].eqNullSafe(other[f"_r_{c}"])
-        condition = same if condition is None else condition & same
-    return left.join(other, condition, how).drop(*[f"_r_{c}" for c in on])
-
-
 def running(counts: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
     """`counts` (one row per group and value) with _le, the sum of weights up to the value, and _n, the group's sum. The sort is cut into ranges
     wherever it pleases, also within a group."""

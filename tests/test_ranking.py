@@ -71,3 +71,8 @@ def test_null_groups_mostly_null_values_one_value_and_tiny_values(spark, limit):
     asked = df.selectExpr("id AS _vid", "g", "tiny AS value")
     seen = R.rank_in_reference(asked, df.selectExpr("g", "tiny AS value"), ["g"], formula=R.pct_le, limit=limit).toPandas().set_index("_vid").sort_index()
     assert len(seen) == n and np.allclose(seen["pct"], pdf.groupby("g", dropna=False)["tiny"].rank(pct=True) * 100)
+
+
+def test_zscores_of_a_null_group(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "b", 5.0)], "id int, g string, v double")
+    assert {r.id: r.v_z for r in R.with_zscores(df, ["v"], ["g"]).collect()} == {1: -1.0, 2: 1.0, 3: 0.0}
