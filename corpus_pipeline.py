@@ -11,7 +11,7 @@ from tallyframe.llm.jaccard import jaccard_components
 from tallyframe.llm.packing import packed
 from tallyframe.llm.quality import judged
 from tallyframe.llm.repeats import without_repeats
-from tallyframe.llm.rows import identified, table, with_ids
+from tallyframe.llm.rows import bitmap_filter, identified, table, with_ids
 from tallyframe.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,8 +26,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents the one with the smallest id stays; documents without shingles all stay."""
     rows = identified(docs, "doc_id", "text", REST)
-    others = jaccard_components(rows).filter("uid <> component").select("uid")
-    return rows.join(others, "uid", "left_anti").select(*COLUMNS)
+    others = cut_lineage(jaccard_components(rows).filter("uid <> component").select("uid"))
+    some, rest = bitmap_filter(rows, "uid", others, apart=True)
+    return some.join(others, "uid", "left_anti").unionByName(rest).select(*COLUMNS)
 
 
 def _shortened(rows: DataFrame, text, changed) -> DataFrame:
