@@ -131,8 +131,8 @@ def _anchors(buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: spans that are repeats (start << 32 | end), and runs whose bytes are needed, packed."""
+def _shared(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """Spans that are repeats (start << 32 | end), and runs whose bytes are needed, packed by bucket of the text."""
     postings, owners, buckets = [], [], []
     done_uid, done_span = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
@@ -168,15 +168,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask["gram"], ask["start"], ask["left"], ask["more"] = gram[turn], p["start"], p["left"], p["more"]
         ask["parts"] = np.minimum(-(-many // RUNS_IN_A_TASK), WIDTH - GRAM + 1)
     done_uid, done_span = np.concatenate(done_uid), np.concatenate(done_span)
-    uids = np.unique(np.concatenate([done_uid, ask_uid]))
-    a, b = np.argsort(done_uid, kind="stable"), np.argsort(ask_uid, kind="stable")
-    done_span, ask = done_span[a], ask[b]
-    x, y = (np.append(np.searchsorted(v, uids), len(v)) for v in (done_uid[a], ask_uid[b]))
+    rows: dict[int, list[bytes]] = {}
+    for k, uid, values in ((0, done_uid, done_span), (1, ask_uid, ask)):
+        bucket = (mixed(uid.view(np.uint64)) % np.uint64(texts)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        bucket, uid, values = bucket[turn], uid[turn], values[turn]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(uid) else [0]
+        for x, y in zip(cut[:-1], cut[1:]):
+            rows.setdefault(int(bucket[x]), [b"", b""])[k] = uid[x:y].tobytes() + values[x:y].tobytes()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array([v[k] for v in rows.values()], pa.binary()) for k in (0, 1))],
+                                         names=["bucket", "spans", "runs"])
+
+
+def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text of the partition: its spans and its runs."""
+    got: list[list] = [[], []]
+    for batch in batches:
+        for k, column, item in ((0, "spans", np.dtype("<i8")), (1, "runs", _REQUEST)):
+            for blob in batch.column(column).to_pylist():
+                n = len(blob) // (8 + item.itemsize)
+                got[k].append((np.frombuffer(blob, np.int64, n), np.frombuffer(blob, item, n, 8 * n)))
+    if not got[0]:
+        return
+    (span_uid, span), (run_uid, run) = ((np.concatenate([g[0] for g in x]), np.concatenate([g[1] for g in x])) for x in got)
+    a, b = np.argsort(span_uid, kind="stable"), np.argsort(run_uid, kind="stable")
+    span_uid, span, run_uid, run = span_uid[a], span[a], run_uid[b], run[b]
+    uids = np.unique(np.concatenate([span_uid, run_uid]))
+    x, y = (np.append(np.searchsorted(v, uids), len(v)) for v in (span_uid, run_uid))
     for at in range(0, len(uids), 8192):
-        to = min(at + 8192, len(uids))
+        few = range(at, min(at + 8192, len(uids)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(uids[at:to]), pa.array([done_span[x[i] : x[i + 1]].tobytes() for i in range(at, to)], pa.binary()),
-             pa.array([ask[y[i] : y[i + 1]].tobytes() for i in range(at, to)], pa.binary())], names=["uid", "spans", "runs"])
+            [pa.array(uids[few.start : few.stop]), pa.array([span[x[i] : x[i + 1]].tobytes() for i in few], pa.binary()),
+             pa.array([run[y[i] : y[i + 1]].tobytes() for i in few], pa.binary())], names=["uid", "spans", "runs"])
 
 
 def _fetched(buckets: int):
@@ -204,7 +228,7 @@ def _fetched(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
 
         for batch, data, offsets in text_groups(batches, "text"):
-            asks = [np.frombuffer(b"".join(a), _REQUEST) for a in batch.column("runs").to_pylist()]
+            asks = [np.frombuffer(a, _REQUEST) for a in batch.column("runs").to_pylist()]
             counts = [len(a) for a in asks]
             ask = np.concatenate(asks)
             if len(ask):
@@ -310,7 +334,7 @@ def _cut(carried: list[str]):
                 if copy:
                     merged = [[0, len(data)]] if data else []
                 else:
-                    packed = np.frombuffer(b"".join(known or []), np.int64)
+                    packed = np.frombuffer(known or b"", np.int64)
                     if spans:
                         packed = np.concatenate([packed, np.array(spans, np.int64)])
                     for s in np.sort(packed).tolist():
@@ -341,18 +365,19 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (24 << 20)))
     anchors = rows.mapInArrow(_anchors(8 * partitions), "bucket int, repeated boolean, uids binary, postings binary")
-    found = cut_lineage(anchors.repartition(partitions, "bucket").mapInArrow(_shared, "uid long, spans binary, runs binary"))
+    shared = anchors.repartition(partitions, "bucket").mapInArrow(lambda batches: _shared(batches, 8 * partitions), "bucket int, spans binary, runs binary")
+    found = cut_lineage(shared.repartition(partitions, "bucket").mapInArrow(_by_text, "uid long, spans binary, runs binary"))
     marks = docs.filter(F.octet_length("text") >= WIDTH).select("uid", F.md5(F.encode("text", "UTF-8")).alias("digest"))
     first = marks.groupBy("digest").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     copies = cut_lineage(marks.join(first, "digest").filter("uid <> first").select("uid"))
     touched = found.select("uid").union(copies)
     carried = list(dict.fromkeys(["uid", *carry]))
     some, others = bitmap_filter(docs.select(*dict.fromkeys([*carried, "text"])), "uid", touched, apart=True)
-    runs = found.filter(F.octet_length("runs") > 0).join(copies, "uid", "left_anti").groupBy("uid").agg(F.collect_list("runs").alias("runs"))
+    runs = found.filter(F.octet_length("runs") > 0).join(copies, "uid", "left_anti").select("uid", "runs")
     bodies = some.join(runs, "uid").select("uid", "text", "runs").mapInArrow(_fetched(8 * partitions), "bucket int, runs binary")
     late = bodies.repartition(partitions, "bucket").mapInArrow(_sorted_windows, "uid long, span long")
     late = cut_lineage(late)
-    known = found.filter(F.octet_length("spans") > 0).groupBy("uid").agg(F.collect_list("spans").alias("known"))
+    known = found.filter(F.octet_length("spans") > 0).select("uid", F.col("spans").alias("known"))
     spans = late.groupBy("uid").agg(F.collect_list("span").alias("spans"))
     joined = some.join(known, "uid", "left").join(spans, "uid", "left").join(copies.withColumn("copy", F.lit(True)), "uid", "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema.fields)
