@@ -93,9 +93,8 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def as_mail(messages: DataFrame) -> DataFrame:
-    """Each message as a reply by mail: the message before it in its conversation, quoted, then its own text. One row per conversation and turn is
-    quoted (the smallest text of equals)."""
-    before = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("before")).select("conv_id", "before", F.lead("turn").over(
-        Window.partitionBy("conv_id").orderBy("turn")).alias("turn")).filter("turn is not null")
+    """Each message as a reply by mail: the message of the turn before it in its conversation, quoted, then its own text. Of several messages of one
+    turn the smallest text is quoted."""
+    before = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("before")).select("conv_id", (F.col("turn") + 1).alias("turn"), "before")
     quoted = F.concat(F.lit("> "), F.replace(F.col("before"), F.lit("\n"), F.lit("\n> ")), F.lit("\n"))
     return messages.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.concat(F.coalesce(quoted, F.lit("")), F.col("text")).alias("text"))
