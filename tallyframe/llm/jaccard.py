@@ -3,15 +3,17 @@
 A text's set holds its distinct five-word shingles as 64-bit hashes. Equal sets are one node (its digest). Two sets can link only
 if they share one of their first n - ceil(0.75 n) + 1 shingles in a common order; shingles that many texts have come last in that
 order (which ones is found by counting over all texts; the order bears on speed alone, never on results). Sharing such a
-shingle makes a list of candidates, and equal lists are kept once.
+shingle makes a list of candidates. Lists with the same smallest digest, the pivot, are one group: the lists of a passage or of a
+family of copies have the same members, and each is held once.
 
-Shingles are also hashed into groups, about n/4 to n/8 of them, and the group counts are the set's point. The overlap of two sets is at most the
-sum of the smaller coordinates, so a pair is dropped if that is below 3/7 of both sizes. Two rounds find all links:
+Shingles are also hashed into groups, n/2 to n of them, and the group counts are the set's point. The overlap of two sets is at most the
+sum of the smaller coordinates, so a pair is dropped if that is below 3/7 of both sizes. Three rounds find all links:
 1. In each list every set is paired with the smallest of its size range; pairs that pass the bound are verified. This
-   joins groups of copies without all their pairs.
-2. Lists that still hold several components are split into blocks, each pair of blocks gets an R-tree over its points
-   (pages in size order, nodes with the maxima of their points), and pairs from different components whose nodes and
-   points pass the bound are verified.
+   joins families of copies without all their pairs.
+2. Groups that still hold several components are split into blocks, each pair of blocks gets an R-tree over its points
+   (pages in size order, nodes with the maxima of their points). Of the pairs whose nodes and points pass the bound the best one
+   of every two components is verified, which joins most of the rest.
+3. The same again with the new components, and all pairs from different components that pass the bound are verified.
 A link that was never verified joins sets that are in one component already.
 
 Null, empty and blank texts have no shingles and stand alone; a text of one to four words is one shingle. Equal ids are told apart by
@@ -70,8 +72,9 @@ def needed(a, b):
 
 
 def point(s: np.ndarray) -> np.ndarray:
-    groups = max(NODE_GROUPS, 1 << max(0, (len(s) - 1) // 8).bit_length())
-    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2")
+    """Counts of at most one or two shingles a group on average; hashes of distinct shingles never fill a byte."""
+    groups = max(NODE_GROUPS, 1 << (max(1, len(s)).bit_length() - 1))
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8)
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
@@ -169,7 +172,8 @@ def _dealt(buckets: int):
             turn = np.argsort(bucket, kind="stable")
             bucket, shingle, digest, n = bucket[turn], shingle[turn], digest[turn], n[turn]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            blobs = [shingle[a:b].tobytes() + digest[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            low = (shingle & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # with the bucket this tells shingles apart; a rare mix-up adds a candidate
+            blobs = [low[a:b].tobytes() + n[a:b].tobytes() + digest[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "postings"])
 
         size = 0
@@ -188,74 +192,51 @@ def _dealt(buckets: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct lists of a partition: (sig, members); members are digests, then sizes, in order of size."""
+    """From the lists of a partition, each pair once: (pivot, member, size of the member, False) for all members of a list, the pivot among
+    them; and (first of a size range, member, 0, True)."""
     shingle, digest, n = [], [], []
     for batch in batches:
-        for blob in batch.column("postings").to_pylist():
-            k = len(blob) // 20
-            shingle.append(np.frombuffer(blob, np.uint64, k))
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("postings").to_pylist()):
+            k = len(blob) // 16
+            shingle.append(np.frombuffer(blob, np.uint32, k) | np.uint64(bucket << 32))
+            n.append(np.frombuffer(blob, np.int32, k, 4 * k))
             digest.append(np.frombuffer(blob, np.int64, k, 8 * k))
-            n.append(np.frombuffer(blob, np.int32, k, 16 * k))
     if not shingle:
         return
     shingle, digest, n = map(np.concatenate, (shingle, digest, n))
     turn = np.argsort(shingle)
     s = shingle[turn]
     same = s[1:] == s[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    turn = turn[shared]
-    shingle, digest, n = shingle[turn], digest[turn], n[turn]
-    turn = np.lexsort((digest, n, shingle))
-    shingle, digest, n = shingle[turn], digest[turn], n[turn]
+    turn = turn[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    turn = turn[np.lexsort((digest[turn], n[turn], shingle[turn]))]
+    shingle, digest, n = shingle[turn], digest[turn], n[turn].astype(np.int64)
     keep = np.ones(len(shingle), bool)
     keep[1:] = (shingle[1:] != shingle[:-1]) | (digest[1:] != digest[:-1])
     shingle, digest, n = shingle[keep], digest[keep], n[keep]
-    cut = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]])) if len(shingle) else np.zeros(1, np.int64)
-    if len(cut) < 2:
+    if not len(shingle):
         return
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(digest.view(np.uint64)))])
-    sig = mixed(sums[cut[1:]] - sums[cut[:-1]]).view(np.int64)
-    size = np.diff(cut)
-    _, first = np.unique(sig, return_index=True)
-    first = first[size[first] > 1]
-    for at in range(0, len(first), 4096):
-        some = first[at : at + 4096]
-        blobs = [digest[cut[i] : cut[i + 1]].tobytes() + n[cut[i] : cut[i + 1]].tobytes() for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[some]), pa.array(blobs, pa.binary())], names=["sig", "members"])
-
-
-def _members(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = len(blob) // 12
-    return np.frombuffer(blob, np.int64, k), np.frombuffer(blob, np.int32, k, 8 * k)
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a list with the smallest one of its size range."""
-    seen: set = set()
-    for batch in batches:
-        a, b = [], []
-        for blob in batch.column("members").to_pylist():
-            digest, n = _members(blob)
-            at = 0
-            while at < len(digest):
-                to = int(np.searchsorted(n, n[at] * 4 // 3, "right"))
-                if to - at > 1:
-                    a.append(np.full(to - at - 1, digest[at]))
-                    b.append(digest[at + 1 : to])
-                at = to
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig = batch.column("sig").to_numpy()
-        members = [_members(b) for b in batch.column("members").to_pylist()]
-        if members:
-            digest, n = np.concatenate([m[0] for m in members]), np.concatenate([m[1] for m in members])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig, [len(m[0]) for m in members])), pa.array(digest), pa.array(n.astype(np.int64))], names=["sig", "digest", "n"])
+    cut = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    many = np.diff(np.append(cut, len(shingle)))
+    pivot = np.repeat(np.minimum.reduceat(digest, cut), many)
+    grouped = np.repeat(many > 1, many)
+    first = np.repeat(cut, many)  # of the size range; ranges after the first of a list are found step by step
+    late = np.flatnonzero(4 * n[first] < 3 * n)
+    while len(late):
+        lists = first[late]
+        begin = late[np.concatenate([[True], lists[1:] != lists[:-1]])]
+        first[late] = np.repeat(begin, np.diff(np.append(np.searchsorted(late, begin), len(late))))
+        late = late[4 * n[first[late]] < 3 * n[late]]
+    star = first != np.arange(len(first))
+    for a, b, size, is_star in ((pivot[grouped], digest[grouped], n[grouped], False), (digest[first[star]], digest[star], None, True)):
+        size = np.zeros(len(a), np.int64) if size is None else size
+        turn = np.lexsort((b, a))
+        a, b, size = a[turn], b[turn], size[turn]
+        keep = np.ones(len(a), bool)
+        keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, size = a[keep], b[keep], size[keep]
+        for at in range(0, len(a), 1 << 16):
+            few = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(a[few]), pa.array(b[few]), pa.array(size[few]), pa.array(np.full(len(a[few]), is_star))], names=["a", "b", "n", "star"])
 
 
 # ---- the bound, the trees and the exact check ----------------------------------------------------------------------------------
@@ -266,7 +247,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for va, vb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("va", "vb", "na", "nb"))):
-            p, q = np.frombuffer(va, "<u2"), np.frombuffer(vb, "<u2")
+            p, q = np.frombuffer(va, np.uint8), np.frombuffer(vb, np.uint8)
             if len(p) != len(q):
                 g = min(len(p), len(q))
                 p, q = folded(p[None], g)[0], folded(q[None], g)[0]
@@ -306,39 +287,49 @@ class CountTree:
             pairs = pairs[np.minimum(top[i], top[j]).sum(1) >= needed(low[i], low[j])]
         return pairs
 
-    def join(self, label: np.ndarray) -> np.ndarray:
-        """Pairs of places (into the given points) with different labels that pass the bound."""
-        label, out = label[self.turn], []
+    def join(self, label: np.ndarray, one_each: bool = False) -> np.ndarray:
+        """Pairs of places (into the given points) with different labels that pass the bound; with `one_each` the pair of every two labels that
+        passes it best."""
+        label, out, spare = label[self.turn], [], []
         for i, j in (self.pages() if len(self.sizes) > PAGE else [(0, 0)]):
             a, b = np.arange(i * PAGE, min((i + 1) * PAGE, len(label))), np.arange(j * PAGE, min((j + 1) * PAGE, len(label)))
             groups = min(len(self.points[a[0]]), len(self.points[b[0]]))
             p, q = (np.stack([folded(self.points[x][None], groups)[0] for x in side]) for side in (a, b))
             least = needed(self.sizes[a][:, None], self.sizes[b][None, :])
-            good = (np.minimum(p[:, None], q[None]).sum(2) >= least) & (label[a][:, None] != label[b][None, :])
+            over = np.minimum(p[:, None], q[None]).sum(2) - least
+            good = (over >= 0) & (label[a][:, None] != label[b][None, :])
             if i == j:
                 good &= np.triu(np.ones_like(good), 1)
             x, y = np.nonzero(good)
-            out.append(np.stack([self.turn[a[x]], self.turn[b[y]]], 1))
-        return np.concatenate(out)
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One tree per list and pair of blocks; rows come sorted by them."""
+            out.append(np.stack([a[x], b[y]], 1))
+            spare.append(over[x, y] / least[x, y])
+        pairs = np.concatenate(out)
+        if one_each and len(pairs):
+            spare, two = np.concatenate(spare), np.sort(label[pairs], axis=1)
+            order = np.lexsort((-spare, two[:, 1], two[:, 0]))
+            two = two[order]
+            first = np.concatenate([[True], (two[1:] != two[:-1]).any(1)])
+            pairs = pairs[order[first]]
+        return self.turn[pairs]
+
+
+def _trees(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
+    """One tree per group and pair of blocks; rows come sorted by them."""
     held: list = []
 
     def joined(rows: list) -> pa.RecordBatch | None:
         if len(rows) < 2 or len({r[4] for r in rows}) < 2:
             return None
         digest = np.array([r[2] for r in rows], np.int64)
-        tree = CountTree([np.frombuffer(r[5], "<u2") for r in rows], np.array([r[3] for r in rows], np.int64))
-        x, y = tree.join(np.array([r[4] for r in rows], np.int64)).T
+        tree = CountTree([np.frombuffer(r[5], np.uint8) for r in rows], np.array([r[3] for r in rows], np.int64))
+        x, y = tree.join(np.array([r[4] for r in rows], np.int64), one_each).T
         if not len(x):
             return None
         a, b = digest[x], digest[y]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("sig", "block", "digest", "n", "label", "vector"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "block", "digest", "n", "label", "vector"))):
             if held and held[-1][:2] != row[:2]:
                 if (done := joined(held)) is not None:
                     yield done
@@ -374,8 +365,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0) // 600_000)
     partitions = int(partitions)
     postings = sets.filter("prefix is not null").select("digest", "n", "prefix").mapInArrow(_dealt(8 * partitions), "bucket int, postings binary")
-    lists = postings.repartition(partitions, "bucket").mapInArrow(_lists, "sig long, members binary")
-    lists = cut_lineage(lists.groupBy("sig").agg(F.first("members").alias("members")))
+    found = cut_lineage(postings.repartition(partitions, "bucket").mapInArrow(_lists, "a long, b long, n long, star boolean"))
     vectors = sets.filter("vector is not null").groupBy("digest").agg(F.first("n").alias("n"), F.first("vector").alias("vector"), F.min("uid").alias("rep"))
     first_of = sets.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"))
 
@@ -392,21 +382,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         a, b = (vectors.select(F.col("digest").alias(x), F.col("n").alias(f"n{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b")
 
-    stars = lists.mapInArrow(_stars, "a long, b long").distinct()
+    stars = found.filter("star").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = exact(with_vectors(stars).mapInArrow(_bounded, "a long, b long"))
-    labels = components(links).withColumnRenamed("node", "digest")
-
-    members = lists.mapInArrow(_exploded, "sig long, digest long, n long").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    members = cut_lineage(members)
-    mixed_lists = members.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    dealt = members.join(mixed_lists.select("sig", blocks.alias("blocks")), "sig").withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("block", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
-    dealt = dealt.select("sig", "block", "digest", "n", "label").join(vectors.select("digest", "vector"), "digest")
-    dealt = dealt.repartition("sig", "block").sortWithinPartitions("sig", "block").select("sig", "block", "digest", "n", "label", "vector")
-    more = exact(dealt.mapInArrow(_trees, "a long, b long").distinct())
+    members = cut_lineage(found.filter("not star").select(F.col("a").alias("pivot"), F.col("b").alias("digest"), "n").distinct())
+
+    def searched(links: DataFrame, one_each: bool) -> DataFrame:
+        """Links between different components of `links`."""
+        labels = components(links).withColumnRenamed("node", "digest")
+        rows = cut_lineage(members.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
+        mixed_groups = rows.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
+        dealt = rows.join(mixed_groups.select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "pivot")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("block", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
+        dealt = dealt.select("pivot", "block", "digest", "n", "label").join(vectors.select("digest", "vector"), "digest")
+        dealt = dealt.repartition("pivot", "block").sortWithinPartitions("pivot", "block").select("pivot", "block", "digest", "n", "label", "vector")
+        return exact(dealt.mapInArrow(lambda batches: _trees(batches, one_each), "a long, b long").distinct())
+
+    links = links.unionByName(searched(links, True))
+    more = searched(links, False)
     whole = components(links.unionByName(more))
 
     groups = first_of.join(whole, first_of["digest"] == whole["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
