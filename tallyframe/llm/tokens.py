@@ -12,18 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_PLAIN = re.compile(r"( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")  # one word of letters that no normal form changes
+#: Words of letters that no normal form changes, runs of common marks, line ends: units that both files' pre-tokenizers keep apart.
+_UNITS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+| ?[.,;:!?#*$%&|<>]+|\n")
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Byte-level files show bytes as letters: those that print as themselves, the others from U+0100 on.
-_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _loaded: dict[tuple, TokenIds] = {}
 
 
 class TokenIds:
     """Ids as little-endian unsigned 16-bit bytes where the vocabulary allows it, else 32-bit (`dtype`)."""
 
-    def __init__(self, path: str, space_joins: bool, cache_pieces: int = 500_000):
+    def __init__(self, path: str, space_joins: bool, cache_pieces: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,8 +30,10 @@ class TokenIds:
         self.space_joins, self.cache_pieces = space_joins, cache_pieces
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model = self.tokenizer.model
-        self.marks: dict[str, bytes] = {}
+        shown = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.begins = np.array([t.startswith("\u0120") for t in shown])  # a space, as byte-level files show it
+        self.ends = np.array([t.endswith("</w>") for t in shown])
+        self.line_end = self.tokenizer.token_to_id("\u010a")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -47,33 +47,54 @@ class TokenIds:
     def learn(self, pieces: set[str]) -> None:
         """Ids of pieces not known yet. The cache has two generations: what was not asked for during a whole one is forgotten."""
         known, older = self.known, self.older
-        for piece in pieces.intersection(older):
-            known[piece] = older[piece]
-        rest = []
+        for piece in pieces:
+            if piece in older:
+                known[piece] = older[piece]
+        made, rest, units = [], [], set()
         for piece in pieces.difference(known):
-            if plain := _PLAIN.fullmatch(piece):
-                space, word, mark = plain.groups()
-                if mark:
-                    whole = known.get(space + word) or self.word(space, word)
-                    known[piece] = whole + self.mark(mark)
-                else:
-                    known[piece] = self.word(space, word)
+            own = _UNITS.findall(piece)
+            if own and sum(map(len, own)) == len(piece) and "\n\n" not in piece:
+                made.append((piece, own))
+                units.update(own)
             else:
                 rest.append(piece)
+        for unit in units:
+            if unit in older:
+                known[unit] = older[unit]
+        units = units.difference(known)
+        self.learn_words([u for u in units if u[-1].isalpha()])
+        rest += [u for u in units if not u[-1].isalpha()]
         for i in range(0, len(rest), 20_000):
             part = rest[i : i + 20_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = array(self.code, e.ids).tobytes()
-
-    def word(self, space: str, word: str) -> bytes:
-        """A plain word is one unit of the file's pre-tokenizer: its model is asked directly."""
-        word = space + word if self.space_joins else word.lower()
-        return array(self.code, [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_SHOWN))]).tobytes()
-
-    def mark(self, mark: str) -> bytes:
-        if mark not in self.marks:
-            self.marks[mark] = array(self.code, self.tokenizer.encode(mark, add_special_tokens=False).ids).tobytes()
-        return self.marks[mark]
+        for piece, own in made:
+            if len(own) > 1:
+                known[piece] = b"".join([known[u] for u in own])
+
+    def learn_words(self, words: list[str]) -> None:
+        """Words are encoded in long lists; where one ends is seen from the ids."""
+        for spaced in (True, False):
+            some = [w for w in words if (w[0] == " ") is spaced]
+            for i in range(0, len(some), 1000):
+                part = some[i : i + 1000]
+                if self.space_joins:
+                    ids = self.ids("".join(part) if spaced else "\n".join(part))
+                    cut = np.flatnonzero(self.begins[ids] if spaced else ids == self.line_end)
+                    begin = cut if spaced else np.append(0, cut + 1)
+                    end = np.append(cut[1:], len(ids)) if spaced else np.append(cut, len(ids))
+                else:
+                    ids = self.ids(" ".join(part))
+                    end = np.flatnonzero(self.ends[ids]) + 1
+                    begin = np.append(0, end[:-1])
+                if len(begin) != len(part):
+                    raise ValueError("the tokenizer file does not keep these words apart")
+                data, size = ids.tobytes(), self.dtype.itemsize
+                for w, b, e in zip(part, (begin * size).tolist(), (end * size).tolist()):
+                    self.known[w] = data[b:e]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
