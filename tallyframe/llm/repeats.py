@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.rows import Words, bitmap_filter, byte_map, mixed, text_groups
+from tallyframe.llm.rows import Words, bitmap_filter, mixed, text_groups
 from tallyframe.session import cut_lineage
 
 WIDTH = 100
@@ -122,7 +122,7 @@ def _anchors(buckets: int):
             keep = ~skip[text]
             held.append((uid[text][keep], start[keep], left[keep], more[keep], gram[keep], whole[keep]))
             size += int(keep.sum())
-            if size > 600_000:
+            if size > 300_000:
                 yield packed()
                 held, size = [], 0
         if size:
@@ -227,7 +227,7 @@ def _fetched(buckets: int):
                 blobs.append(np.int64(y - x).tobytes() + uid[r].tobytes() + part[x:y].astype(np.uint8).tobytes() + ask[r].tobytes() + body[source].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
 
-        for batch, data, offsets in text_groups(batches, "text"):
+        for batch, data, offsets in text_groups(batches, "text", 1 << 20):
             asks = [np.frombuffer(a, _REQUEST) for a in batch.column("runs").to_pylist()]
             counts = [len(a) for a in asks]
             ask = np.concatenate(asks)
@@ -237,7 +237,7 @@ def _fetched(buckets: int):
                 source = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
                 held.append((np.repeat(batch.column("uid").to_numpy(), counts), ask, data[source]))
                 size += len(source)
-            if size > 24 << 20:
+            if size > 8 << 20:
                 yield packed()
                 held, size = [], 0
         if size:
@@ -289,7 +289,7 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     ends = np.append(head[1:], len(turn))
     at = 0
     while at < len(head):
-        to = max(at + 1, int(np.searchsorted(ends, head[at] + 30_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, head[at] + 10_000, "right")))
         r = turn[head[at] : ends[to - 1]]
         at = to
         windows = ask["more"][r].astype(np.int64) + 1
