@@ -40,9 +40,9 @@ def _shortened(rows: DataFrame, text, changed) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated stretches go; a character cut in two goes as well."""
     rows = identified(docs, "doc_id", "text", REST)
-    cut = without_repeats(rows, carry=("doc_id", "text", *REST)).withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string")))
-    cut = cut.withColumn("kept_text", F.replace(F.col("kept_text"), F.lit("\ufffd"), F.lit("")))
-    return _shortened(cut, F.expr("try_validate_utf8(decode(kept, 'UTF-8'))") if False else F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""), F.size("removed") > 0)
+    cut = without_repeats(rows, carry=("doc_id", "text", *REST))
+    kept = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    return _shortened(cut, kept, F.size("removed") > 0)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
