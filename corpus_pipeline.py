@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyframe.llm.decontaminate import found_phrases, without_spans
 from tallyframe.llm.jaccard import jaccard_components
 from tallyframe.llm.packing import packed
-from tallyframe.llm.quality import judged
+from tallyframe.llm.quality import WORD_REACH, judged
 from tallyframe.llm.repeats import without_repeats
 from tallyframe.llm.rows import bitmap_filter, identified, table, with_ids
 from tallyframe.session import cut_lineage
@@ -19,8 +19,8 @@ REST = ("lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return judged(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    """Documents that the rules reject go, and those without the common words of their language."""
+    return judged(docs.select(*COLUMNS), {"word_reach": WORD_REACH}).filter("kept").select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from tallyframe.llm import quality as Q
 
 
@@ -46,3 +47,18 @@ def test_empty_table_and_clashing_columns(spark):
     assert Q.judged(docs).collect() == []
     docs = spark.createDataFrame([(1, "a b", "en", 5), (1, "a b", "en", 5)], "doc_id long, text string, lang string, n_plain int")
     assert [x["kept"] for x in Q.judged(docs).collect()] == [False, False]
+
+
+def test_the_pipeline_rejects_texts_of_another_language_and_without_common_words(spark):
+    r = random.Random(5)
+
+    def text(lang, n, common=0.3):
+        return " ".join(lang * 2 + chr(97 + min(23, int(r.expovariate(0.2)))) if r.random() < common else lang + "".join(r.choice("aeinrst") for _ in range(7)) for _ in range(n))
+
+    lengths = [60, 120, 300, 900]
+    rows = [(k * 100 + i, text(x, lengths[i % 4]), x) for k, x in enumerate("pq") for i in range(80)]
+    other = [(1000 + i, text("q", n), "p") for i, n in enumerate(lengths)]
+    bare = [(2000 + i, text("p", n, 0), "p") for i, n in enumerate(lengths)]
+    few = [(3000, text("q", 300), "rare"), (3001, text("q", 300), None)]
+    docs = spark.createDataFrame([(*x, "s", len(x[1])) for x in rows + other + bare + few], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"] for x in corpus_pipeline.quality_rules(spark, docs, "").collect()} == {x[0] for x in rows + few}
