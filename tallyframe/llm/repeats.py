@@ -7,7 +7,9 @@ The first digit is the window's anchor, its smallest 24-byte gram by hash, with
 share an anchor, so this pass handles one run per anchor (about one in forty bytes) and not every suffix. A run is known by its
 gram and by a hash of all its bytes: of equal runs only the first goes on, the others are repeats throughout. Only runs
 whose gram is shared by different runs have their bytes fetched, in a second pass over the texts, and their windows
-sorted by the remaining digits of 25 bytes each. A gram with very many different runs is dealt to several tasks by the place of the gram.
+sorted by the remaining digits of 25 bytes each. Of a gram with very many different runs no bytes are shuffled: where its texts are read, each of its
+windows is hashed through all digits, the first of equal windows in the task goes on, and it is dealt by that hash, so that such a gram
+spreads over all tasks and only equal windows meet.
 
 Null texts are empty. Texts under 100 bytes lose nothing. Of texts equal throughout the first stays whole and the others
 lose everything. Equal ids are told apart by `identified`. Stretches are compared by 64-bit hashes."""
@@ -28,10 +30,12 @@ from tallyframe.session import cut_lineage
 WIDTH = 100
 GRAM = 24
 DIGITS = (25, 25, 25, 25)
-RUNS_IN_A_TASK = 20_000
+RUNS_IN_A_TASK = 20_000  # of one gram; beyond, windows are dealt
+WINDOWS_AT_ONCE = 1_000_000
 _LOW = np.uint64(0xFFFFFFFF)
 _POSTING = np.dtype([("gram", "<u4"), ("run", "<u8"), ("text", "<u4"), ("start", "<u4"), ("left", "u1"), ("more", "u1")])
-_REQUEST = np.dtype([("gram", "<u8"), ("start", "<u4"), ("left", "u1"), ("more", "u1"), ("parts", "u1")])
+_REQUEST = np.dtype([("gram", "<u8"), ("start", "<u4"), ("left", "u1"), ("more", "u1"), ("hot", "u1")])
+_WINDOW = np.dtype([("window", "<u8"), ("uid", "<i8"), ("start", "<u4")])
 
 
 def _every_byte() -> Words:
@@ -131,7 +135,7 @@ def _anchors(buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], texts: int, most: int) -> Iterator[pa.RecordBatch]:
     """Spans that are repeats (start << 32 | end), and runs whose bytes are needed, packed by bucket of the text."""
     postings, owners, buckets = [], [], []
     done_uid, done_span = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -166,7 +170,7 @@ def _shared(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.Record
         p, ask_uid = p[turn], uid[turn]
         ask = np.empty(len(p), _REQUEST)
         ask["gram"], ask["start"], ask["left"], ask["more"] = gram[turn], p["start"], p["left"], p["more"]
-        ask["parts"] = np.minimum(-(-many // RUNS_IN_A_TASK), WIDTH - GRAM + 1)
+        ask["hot"] = many > most
     done_uid, done_span = np.concatenate(done_uid), np.concatenate(done_span)
     rows: dict[int, list[bytes]] = {}
     for k, uid, values in ((0, done_uid, done_span), (1, ask_uid, ask)):
@@ -204,48 +208,94 @@ def _by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetched(buckets: int):
-    """The bytes of the runs asked for, packed by bucket of gram and part."""
+    """The bytes of the runs asked for, packed by bucket of gram; of hot grams the windows, packed by bucket of their hash, and spans found already."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        words, held, size, windows, many = _every_byte(), [], 0, [], 0
+
+        def rows_of(bucket: list[int], **columns: list[bytes]) -> pa.RecordBatch:
+            given = [pa.array(columns.get(name, [None] * len(bucket)), pa.binary()) for name in ("runs", "windows")]
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *given], names=["bucket", "runs", "windows"])
 
         def packed() -> pa.RecordBatch:
             uid, ask, body = (np.concatenate([h[i] for h in held]) for i in range(3))
             length = ask["more"].astype(np.int64) + WIDTH
             begin = np.cumsum(length) - length
-            parts = ask["parts"].astype(np.int64)
-            row = np.repeat(np.arange(len(ask)), parts)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-            bucket = (mixed(ask["gram"][row] + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
-            turn = np.argsort(bucket, kind="stable")
-            bucket, row, part = bucket[turn], row[turn], part[turn]
+            bucket = (mixed(ask["gram"]) % np.uint64(buckets)).astype(np.int32)
+            row = np.argsort(bucket, kind="stable")
+            bucket = bucket[row]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             blobs = []
             for x, y in zip(cut[:-1], cut[1:]):
                 r = row[x:y]
                 size_of = length[r]
                 source = np.repeat(begin[r] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
-                blobs.append(np.int64(y - x).tobytes() + uid[r].tobytes() + part[x:y].astype(np.uint8).tobytes() + ask[r].tobytes() + body[source].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
+                blobs.append(np.int64(y - x).tobytes() + uid[r].tobytes() + ask[r].tobytes() + body[source].tobytes())
+            return rows_of(bucket[cut[:-1]].tolist(), runs=blobs)
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            w = np.concatenate(windows)
+            first = _first_of_equal(w["window"], w["uid"], w["start"])
+            if not first.all():
+                uid, span = _joined(w["uid"][~first], w["start"][~first].astype(np.int64))
+                yield rows_of([int(mixed(uid[:1].view(np.uint64))[0] % np.uint64(buckets))], windows=[b"S" + uid.tobytes() + span.tobytes()])
+            w = w[first]
+            bucket = (mixed(w["window"]) % np.uint64(buckets)).astype(np.int32)
+            turn = np.argsort(bucket, kind="stable")
+            bucket, w = bucket[turn], w[turn]
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            yield rows_of(bucket[cut[:-1]].tolist(), windows=[b"W" + w[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])])
 
         for batch, data, offsets in text_groups(batches, "text", 1 << 20):
             asks = [np.frombuffer(a, _REQUEST) for a in batch.column("runs").to_pylist()]
             counts = [len(a) for a in asks]
-            ask = np.concatenate(asks)
+            ask, uid, at = np.concatenate(asks), np.repeat(batch.column("uid").to_numpy(), counts), np.repeat(offsets[:-1], counts)
+            hot = ask["hot"] > 0
+            if hot.any():
+                sums = words.sums(words.codes[words.letters[data]])
+                some = np.flatnonzero(hot)
+                for k in range(0, len(some), 10_000):
+                    of = some[k : k + 10_000]
+                    count = ask["more"][of].astype(np.int64) + 1
+                    run, j = np.repeat(of, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    out = np.empty(len(run), _WINDOW)
+                    out["uid"], out["start"] = uid[run], ask["start"][run] + j
+                    place = (ask["left"][run].astype(np.int64) - j + WIDTH).astype(np.uint64)
+                    key, begin = mixed(ask["gram"][run] * np.uint64(0xA0761D6478BD642F) + place), at[run] + out["start"]
+                    out["window"] = mixed(key * np.uint64(0xD6E8FEB86659FD93) + words.window(sums, begin, begin + WIDTH))
+                    windows.append(out)
+                    many += len(out)
+                    if many > WINDOWS_AT_ONCE:
+                        yield from dealt()
+                        windows, many = [], 0
+                ask, uid, at = ask[~hot], uid[~hot], at[~hot]
             if len(ask):
                 length = ask["more"].astype(np.int64) + WIDTH
-                begin = np.repeat(offsets[:-1], counts) + ask["start"]
+                begin = at + ask["start"]
                 source = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                held.append((np.repeat(batch.column("uid").to_numpy(), counts), ask, data[source]))
+                held.append((uid, ask, data[source]))
                 size += len(source)
             if size > 8 << 20:
                 yield packed()
                 held, size = [], 0
         if size:
             yield packed()
+        if many:
+            yield from dealt()
 
     return run
 
 
+def _joined(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as (owner, span), those of an owner that touch as one."""
+    order = np.lexsort((start, owner))
+    owner, start = owner[order], start[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + WIDTH)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(owner)) - 1
+    return owner[first], (start[first] << 32) | (start[last] + WIDTH)
+
+
 def radix_groups(bodies: np.ndarray, begin: np.ndarray, group: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(window, group) of the windows that are not alone after all digits."""
     sums = words.sums(words.codes[words.letters[bodies]])
@@ -267,25 +317,37 @@ def radix_groups(bodies: np.ndarray, begin: np.ndarray, group: np.ndarray, words
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of windows that are equal to an earlier one."""
-    words, blobs = _every_byte(), []
+    words, blobs, windows = _every_byte(), [], []
     for batch in batches:
-        blobs += batch.column("runs").to_pylist()
+        blobs += [b for b in batch.column("runs").to_pylist() if b]
+        for blob in batch.column("windows").to_pylist():
+            if blob and blob[:1] == b"W":
+                windows.append(np.frombuffer(blob, _WINDOW, offset=1))
+            elif blob:
+                n = (len(blob) - 1) // 16
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob, np.int64, n, 1)), pa.array(np.frombuffer(blob, np.int64, n, 1 + 8 * n))], names=["uid", "span"])
+    if windows:
+        w = np.concatenate(windows)
+        windows = None
+        later = ~_first_of_equal(w["window"], w["uid"], w["start"])
+        if later.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _joined(w["uid"][later], w["start"][later].astype(np.int64))], names=["uid", "span"])
+        del w
     if not blobs:
         return
-    uid, part, ask, body = [], [], [], []
+    uid, ask, body = [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
         uid.append(np.frombuffer(blob, np.int64, n, 8))
-        part.append(np.frombuffer(blob, np.uint8, n, 8 + 8 * n))
-        ask.append(np.frombuffer(blob, _REQUEST, n, 8 + 9 * n))
-        body.append(np.frombuffer(blob, np.uint8, offset=8 + (9 + _REQUEST.itemsize) * n))
+        ask.append(np.frombuffer(blob, _REQUEST, n, 8 + 8 * n))
+        body.append(np.frombuffer(blob, np.uint8, offset=8 + (8 + _REQUEST.itemsize) * n))
     del blobs
-    uid, part, ask, body = (np.concatenate(x) for x in (uid, part, ask, body))
+    uid, ask, body = (np.concatenate(x) for x in (uid, ask, body))
     length = ask["more"].astype(np.int64) + WIDTH
     begin = np.cumsum(length) - length
     # whole grams go together, so many at a time that the windows fit
-    turn = np.lexsort((part, ask["gram"]))
-    head = np.flatnonzero(np.concatenate([[True], (ask["gram"][turn][1:] != ask["gram"][turn][:-1]) | (part[turn][1:] != part[turn][:-1])]))
+    turn = np.argsort(ask["gram"], kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], ask["gram"][turn][1:] != ask["gram"][turn][:-1]]))
     ends = np.append(head[1:], len(turn))
     at = 0
     while at < len(head):
@@ -296,10 +358,6 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         run = np.repeat(r, windows)
         j = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
         place = ask["left"][run].astype(np.int64) - j + WIDTH  # of the gram in the window, never below 0
-        mine = place % ask["parts"][run] == part[run]
-        run, j, place = run[mine], j[mine], place[mine]
-        if not len(run):
-            continue
         size_of = length[r]
         local = np.repeat(begin[r] - (np.cumsum(size_of) - size_of), size_of) + np.arange(size_of.sum())
         new_begin = np.zeros(len(begin), np.int64)
@@ -313,15 +371,8 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         group, owner, start = group[order], owner[order], start[order]
         later = np.concatenate([[False], group[1:] == group[:-1]])
         owner, start = owner[later], start[later]
-        order = np.lexsort((start, owner))
-        owner, start = owner[order], start[order]
-        if not len(owner):
-            continue
-        new = np.ones(len(owner), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + WIDTH)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(owner)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array((start[first] << 32) | (start[last] + WIDTH))], names=["uid", "span"])
+        if len(owner):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _joined(owner, start)], names=["uid", "span"])
 
 
 def _cut(carried: list[str]):
@@ -365,7 +416,8 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (24 << 20)))
     anchors = rows.mapInArrow(_anchors(8 * partitions), "bucket int, repeated boolean, uids binary, postings binary")
-    shared = anchors.repartition(partitions, "bucket").mapInArrow(lambda batches: _shared(batches, 8 * partitions), "bucket int, spans binary, runs binary")
+    most = RUNS_IN_A_TASK
+    shared = anchors.repartition(partitions, "bucket").mapInArrow(lambda batches: _shared(batches, 8 * partitions, most), "bucket int, spans binary, runs binary")
     found = cut_lineage(shared.repartition(partitions, "bucket").mapInArrow(_by_text, "uid long, spans binary, runs binary"))
     marks = docs.filter(F.octet_length("text") >= WIDTH).select("uid", F.md5(F.encode("text", "UTF-8")).alias("digest"))
     first = marks.groupBy("digest").agg(F.min("uid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
@@ -374,7 +426,7 @@ def without_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     carried = list(dict.fromkeys(["uid", *carry]))
     some, others = bitmap_filter(docs.select(*dict.fromkeys([*carried, "text"])), "uid", touched, apart=True)
     runs = found.filter(F.octet_length("runs") > 0).join(copies, "uid", "left_anti").select("uid", "runs")
-    bodies = some.join(runs, "uid").select("uid", "text", "runs").mapInArrow(_fetched(8 * partitions), "bucket int, runs binary")
+    bodies = some.join(runs, "uid").select("uid", "text", "runs").mapInArrow(_fetched(8 * partitions), "bucket int, runs binary, windows binary")
     late = bodies.repartition(partitions, "bucket").mapInArrow(_sorted_windows, "uid long, span long")
     late = cut_lineage(late)
     known = found.filter(F.octet_length("spans") > 0).select("uid", F.col("spans").alias("known"))

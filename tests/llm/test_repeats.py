@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tests.llm import brute
 from tallyframe.llm import repeats as R
 from tallyframe.llm.rows import identified
@@ -47,3 +50,34 @@ def test_grams_dealt_to_several_tasks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert found(spark, []) == {}
+
+
+def test_a_gram_of_many_runs_spreads_by_its_windows():
+    r = random.Random(4)
+    some = lambda k: "".join(r.choice("abcdefgh \n") for _ in range(k))
+    line = some(85)
+    texts = [some(60) + line + some(60) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["uid", "text"])
+    asked = {}
+    for b in R._by_text(R._shared(R._anchors(64)([batch]), 64, 20)):
+        asked.update(zip(b.column("uid").to_pylist(), b.column("runs").to_pylist()))
+    of = sorted(u for u in asked if asked[u])
+    hot = pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([texts[u] for u in of]), pa.array([asked[u] for u in of], pa.binary())], names=["uid", "text", "runs"])
+    fetched = list(R._fetched(64)([hot]))
+    sizes = {}
+    for b in fetched:
+        for bucket, runs, windows in zip(*(b.column(c).to_pylist() for c in ("bucket", "runs", "windows"))):
+            sizes[bucket] = sizes.get(bucket, 0) + len(runs or b"") + len(windows or b"")
+    windows = sum(int(np.frombuffer(asked[u], R._REQUEST)["more"].sum()) + len(asked[u]) // R._REQUEST.itemsize for u in of)
+    assert windows > 2000 and len(sizes) == 64
+    assert sum(sizes.values()) < 21 * windows and max(sizes.values()) < 3 * sum(sizes.values()) / 64
+    assert all(len(b.column("uid")) == 0 for b in R._sorted_windows(fetched))
+
+
+def test_repeats_of_a_gram_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(R, "RUNS_IN_A_TASK", 20)
+    r = random.Random(6)
+    some = lambda k: "".join(r.choice("abcdefgh \n") for _ in range(k))
+    line, pieces = some(85), [some(60) for _ in range(8)]
+    rows = [(i, r.choice([some(70), r.choice(pieces)]) + line + r.choice([some(70), r.choice(pieces)]) + some(i % 50)) for i in range(300)]
+    assert found(spark, rows) == brute.repeats(rows)
