@@ -15,9 +15,14 @@ from tallyframe.llm.packing import packed
 from tallyframe.llm.planes import read_ids, write_ids
 from tallyframe.llm.quality import judged
 from tallyframe.llm.quotes import as_mail, linked
+from tallyframe.llm.repair import damaged, repaired
 from tallyframe.llm.repeats import without_repeats
+from tallyframe.llm.resample import resampled
 from tallyframe.llm.rollups import Rollup, counted, new_folder
 from tallyframe.llm.rows import identified, small_batches, table, with_ids
+from tallyframe.llm.toxicity import fitted as fitted_toxicity
+from tallyframe.llm.toxicity import remainder as toxicity_remainder
+from tallyframe.llm.toxicity import scored
 from tallyframe.llm.urls import judged_urls
 from tallyframe.session import checkpoint_dir, cut_lineage
 
@@ -102,9 +107,29 @@ def op10_token_rollups(spark: SparkSession, sf: str) -> DataFrame:
     return store.totals()
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation damaged, then repaired; those of which no row is left have zeros."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    out = rows.select("conv_id").distinct().alias("i").join(repaired(damaged(rows)).alias("r"), F.expr("i.conv_id <=> r.conv_id"), "left")
+    numbers = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("i.conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = scored(docs, fitted_toxicity(docs, table(spark, sf, "labels")))
+    held_out = F.coalesce(toxicity_remainder(F.col("doc_id")) == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampled(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
 
-Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op3_url_filters, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op8_quotation_linking, op9_quality_rules, op10_token_rollups, pipeline)}
+Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op3_url_filters, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op8_quotation_linking, op9_quality_rules, op10_token_rollups,
+                           op11_conversation_repair, op12_toxicity, op13_importance_resampling, pipeline)}
 O = {"op3_url_filters": sql.OP3, "op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}
