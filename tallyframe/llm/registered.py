@@ -132,4 +132,5 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 Q = {f.__name__: f for f in (op1_language_id, op2_curve_packing, op3_url_filters, op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_bit_plane_output, op8_quotation_linking, op9_quality_rules, op10_token_rollups,
                            op11_conversation_repair, op12_toxicity, op13_importance_resampling, pipeline)}
-O = {"op3_url_filters": sql.OP3, "op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9}
+O = {"op3_url_filters": sql.OP3, "op4_ngram_jaccard_join": sql.OP4, "op5_benchmark_decontamination": sql.OP5, "op6_suffix_array_dedup": sql.OP6, "op9_quality_rules": sql.OP9,
+     "op11_conversation_repair": sql.OP11, "op13_importance_resampling": sql.OP13}

@@ -135,3 +135,82 @@ FROM r JOIN x{depth} USING (host, {', '.join(s)}) JOIN {last} USING (host, {', '
 
 
 OP3 = _op3()
+
+#: CRC-32 by its polynomial, bit by bit for the table and byte by byte for a text.
+_CRC_TABLE = "crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text in a query that joins crc_table."""
+    number = f"list_transform(range(0, octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k::INT + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {number}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_FEATURES = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+OP13 = f"""
+WITH {_CRC_TABLE}, d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT {_ALNUM} AS w FROM benchmark),
+f AS (SELECT doc_id, unnest({_FEATURES}) AS g FROM d), e AS (SELECT unnest({_FEATURES}) AS g FROM b),
+u AS (SELECT g FROM f UNION SELECT g FROM e), k AS (SELECT g, {_crc('g')} % 10000 AS bucket FROM u, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN k USING (g) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM e JOIN k USING (g) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+means AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN k USING (g) JOIN gains USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w) AS n_words, len({_FEATURES})::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN means USING (doc_id)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score, n_words >= 20 AS able FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE able) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM z
+"""
+
+
+def _op11() -> str:
+    """States 0 to 3 (nothing yet, after a system message, a user's, an assistant's) hold the least (cost, audit, text so far) up to each message."""
+
+    def add(state: str, cost: str, letter: str, line: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {state}.o || {line}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def said(role: str) -> str:
+        return f"(chr(10) || {role} || ':' || text)"
+
+    def moved(state: str, initial: str, role: str) -> str:
+        return (f"CASE WHEN fault IN ('b', 'd') THEN {add(state, '1000000', '', chr(39) * 2)} WHEN initial = '{initial}' THEN {add(state, 'p', 'K', said('role'))} "
+                f"ELSE {add(state, '3 + p', 'R', said(chr(39) + role + chr(39)))} END")
+
+    def deleted(state: str) -> str:
+        return add(state, "4", "D", "''")
+
+    user, assistant = "(chr(10) || 'user:')", "(chr(10) || 'assistant:')"
+    steps = {
+        "n0": deleted("s0"),
+        "n1": least(deleted("s1"), f"CASE WHEN fault IN ('b', 'd') OR initial <> 's' THEN {add('s0', '1000000', '', chr(39) * 2)} ELSE {add('s0', 'p', 'K', said('role'))} END"),
+        "n2": least(deleted("s2"), *(moved(s, "u", "user") for s in ("s0", "s1", "s3"))),
+        "n3": least(deleted("s3"), moved("s2", "a", "assistant")),
+    }
+    far = "{'c': 1000000::BIGINT, 'a': '', 'o': ''}"
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS d FROM conversations, crc_table),
+rows AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN d = 3 THEN [0, 1] ELSE [0] END) AS copy FROM raw WHERE d <> 0),
+numbered AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+  regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS ending FROM rows),
+faults AS (SELECT *, CASE WHEN ending = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN ending NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS previous FROM numbered),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+  count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS s0, {far} AS s1, {{'c': 3::BIGINT, 'a': 'I', 'o': {user}}} AS s2, {{'c': 6::BIGINT, 'a': 'II', 'o': {user} || {assistant}}} AS s3 FROM sums
+  UNION ALL SELECT conv_id, i, n0, n1, m2, {least('n3', add('m2', '3', 'I', assistant))} FROM (
+    SELECT *, {least('n2', *(add(s, '3', 'I', user) for s in ('n0', 'n1', 'n3')))} AS m2 FROM (
+      SELECT f.conv_id, f.i, {', '.join(f'{v} AS {k}' for k, v in steps.items())} FROM (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS p FROM faults) f JOIN walk w ON w.conv_id = f.conv_id AND f.i = w.i + 1))),
+best AS (SELECT conv_id, {least('s0', 's3')} AS x FROM walk JOIN sums USING (conv_id) WHERE i = n)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(x.c, 0)::BIGINT AS cost, coalesce(x.a, '') AS audit, sha256(coalesce(substr(x.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums USING (conv_id) LEFT JOIN best USING (conv_id)
+"""
+
+
+OP11 = _op11()

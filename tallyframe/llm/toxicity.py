@@ -91,7 +91,7 @@ class Model:
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], t: Training) -> Model:
     """bags of (buckets, shares, label) in a fixed order."""
     turn = np.random.RandomState(11)
-    texts = np.bincount(np.concatenate([b for b, *_ in bags]), minlength=t.buckets)
+    texts = np.bincount(np.concatenate([np.empty(0, np.int64), *(b for b, *_ in bags)]), minlength=t.buckets)
     bags = [(b[texts[b] >= t.least_texts], x[texts[b] >= t.least_texts], label) for b, x, label in bags]
     table = turn.uniform(-0.5 / t.dims, 0.5 / t.dims, (t.buckets, t.dims))
     table[texts < t.least_texts] = 0
