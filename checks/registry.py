@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["players", "teams", "lineups", "prospects", "units", "ingest"]
+MODULES = ["players", "teams", "lineups", "prospects", "draft", "units", "ingest"]
 
 
 def _all(attr: str) -> dict:
