@@ -5,8 +5,9 @@ buckets; a weight is the n-gram's share of the text times its inverse document f
 follow-the-regularised-leader with elastic-net penalties, one text at a time, and its scores are divided by a temperature that is fitted
 on texts kept back from training.
 
-Training takes at most `per_language` texts of each of the `languages` most frequent languages, those with the smallest hash of their id
-(documented bounds of a classifier's sample); whole texts are used, and every text is predicted. Texts that are null or
+Every language of the allowed rows is a class (a column of weights each). Document frequencies are counted over all allowed rows; training takes at most
+`per_language` texts of each language and about `rows` in all, those with the smallest hash of their id (documented bounds of a classifier's sample); whole texts are
+used, and every text is predicted. Texts that are null or
 have no letter get "und" and score 0, and so do all texts if there is nothing to learn from. Rows without an id are predicted and never
 learned from. Equal rows are predicted alike."""
 
@@ -30,7 +31,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Training:
     per_language: int = 500
-    languages: int = 50
+    rows: int = 25_000
     epochs: int = 4
     rate: float = 0.5
     smooth: float = 1.0
@@ -95,16 +96,23 @@ class Model:
         return e / e.sum()
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], t: Training) -> Model | None:
-    """rows of (language, buckets, shares) in a fixed order."""
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts hold each bucket."""
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            total[np.unique(gram_buckets(text))] += 1
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["bucket", "n"])
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], t: Training, df: np.ndarray, texts: int) -> Model | None:
+    """rows of (language, buckets, shares) in a fixed order; `df` of the `texts` allowed texts hold a bucket."""
     languages = sorted({r[0] for r in rows})
     if not languages:
         return None
     number = {x: k for k, x in enumerate(languages)}
-    df = np.zeros(BUCKETS)
-    for _, b, _ in rows:
-        df[b] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    idf = np.log((1 + texts) / (1 + df)) + 1
     back = [r for k, r in enumerate(rows) if k % t.held_back == t.held_back - 1]
     own = [r for k, r in enumerate(rows) if k % t.held_back != t.held_back - 1]
     k = len(languages)
@@ -153,13 +161,20 @@ def fitted(docs: DataFrame, training: Training | None = None) -> Model | None:
     t = training or Training()
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2) & F.col("text").rlike(r"\p{L}"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(t.languages).select("lang")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").join(F.broadcast(frequent), "lang").withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= t.per_language)
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as languages
+    each = max(1, min(t.per_language, t.rows // max(1, len(sizes))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(x, int((1 << 30) * min(1.0, (1.5 * each + 20) / n))) for x, n in sizes.items()], "lang string, bound long"))
+    turn = Window.partitionBy("lang").orderBy(place, "doc_id")
+    few = rows.select("doc_id", "lang").join(known, "lang").where(place < F.col("bound"))  # some more than asked for, whatever the table's size
+    chosen = few.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= each)
     sample = rows.join(F.broadcast(chosen.select("doc_id", "turn").distinct()), "doc_id").select("lang", "turn", "text")
-    made = sample.mapInArrow(_featured, "lang string, turn int, buckets binary, shares binary").collect()  # at most languages x per_language texts
+    made = sample.mapInArrow(_featured, "lang string, turn int, buckets binary, shares binary").collect()  # about t.rows texts
     made = sorted(((r["turn"], r["lang"], bytes(r["buckets"]), bytes(r["shares"])) for r in made))
-    return train([(lang, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(s, "<f4").astype(float)) for _, lang, b, s in made], t)
+    df = np.zeros(BUCKETS)
+    for r in rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most one row a bucket
+        df[r["bucket"]] = r["n"]
+    return train([(lang, np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(s, "<f4").astype(float)) for _, lang, b, s in made], t, df, sum(sizes.values()))
 
 
 def identified_languages(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
