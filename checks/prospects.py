@@ -206,6 +206,21 @@ def pool_cosine_vectors(spark, sf):
     return r6(unit.select("player_id", *[F.col("unit")[i].alias(f"u{i}") for i in range(12)]))
 
 
+def _directions(entity: str, name: str) -> str:
+    """Unit vectors of one pool as a derived table."""
+    return f"""(WITH {S.careers(entity)}, z AS (SELECT player_id, [{', '.join(S.zscore(m) for m in M)}] AS v FROM career)
+SELECT player_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM z) {name}"""
+
+
+@query("pool_cosines", f"""WITH pair AS (SELECT a.player_id, b.player_id AS similar_id, list_inner_product(a.u, b.u) AS cosine FROM {_directions('supplier', 'a')}, {_directions('customer', 'b')})
+SELECT player_id, row_number() OVER (PARTITION BY player_id ORDER BY cosine DESC, similar_id) AS rank, similar_id, round(cosine, 6) AS cosine FROM pair
+QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY cosine DESC, similar_id) <= 10""")
+def pool_cosines(spark, sf):
+    """Every supplier career's ten customer careers of greatest cosine."""
+    mine, theirs = (careers(spark, sf, e).select("player_id", *M) for e in ("supplier", "customer"))
+    return r6(X.cosine_neighbours(mine, theirs, M))
+
+
 @query("clean_names", """SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[.,]', '', 'g')), '\\s+', ' ', 'g'))) AS cleaned,
   md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS searched,
   md5(CASE WHEN regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') = '' THEN 'unknown'
