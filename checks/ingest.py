@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import clean as K
 from tallyframe.operators import search
+from tallyframe.operators.name_index import name_index, search_index
 from tallyframe.session import checkpoint_dir
 from tallyframe.sources import landed
 from tallyframe.sources.boxscore import names as part_names
@@ -173,7 +174,8 @@ def name_search_tiers(spark, sf):
     return out.where("score is not null").select("player_id", "score")
 
 
-@query("fuzzy_name_search")
+@query("fuzzy_name_search", f"""WITH dim AS ({S.NAMES['part']}), n AS (SELECT *, {S.SEARCHED} AS h FROM dim), {S.name_scores('n', 'rde wdget11')}
+SELECT player_id, player_name, round(score, 6) AS score FROM n JOIN name_score USING (h) WHERE score >= 35 ORDER BY name_score.score DESC, lower(player_name), player_id LIMIT 8""")
 def fuzzy_name_search(spark, sf):
     names = part_names(spark, sf, "part")
-    return r6(search.search_players(names, "Rde Wdget11"))
+    return r6(search_index(name_index(names), "Rde Wdget11"))

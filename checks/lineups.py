@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyframe import preset as P
 from tallyframe.operators import lineups as L
 from tallyframe.operators import teams as T
+from tallyframe.operators.name_index import name_index
 from tallyframe.operators.ranking import with_ordinal
+from tallyframe.plans.units import search_season
 
 from . import sqlbase as S
 from .teams import TEAM
@@ -245,3 +247,12 @@ SELECT team, season, player_id, pos::INT AS pos, source, round(mpg, 6) AS mpg, r
 def starting_lineups(spark, sf):
     out = starters(spark, sf)
     return r6(out.select("team", "season", "player_id", F.col("pos").cast("int").alias("pos"), "source", F.col("min").alias("mpg"), "lineup_mpg", text("roles")))
+
+
+@query("season_player_search", f"""WITH {PART}, n AS (SELECT *, {S.SEARCHED} AS h, {UROLES} AS roles FROM feats WHERE season = '1995-96'), {S.name_scores('n', 'smal rng4')}
+SELECT player_id, player_name AS name, team, roles[1] AS role, round(pts_per36, 6) AS pts_per36, round("min" / gp, 6) AS mpg, round(score, 6) AS score
+FROM n JOIN name_score USING (h) WHERE score >= 35 ORDER BY name_score.score DESC, lower(player_name), player_id LIMIT 8""")
+def season_player_search(spark, sf):
+    """Misspelt names among one season's rows, with the role each would play in a unit."""
+    rows = part_features(spark, sf).select("player_id", "player_name", "team", "season", "pts_per36", "gp", "min", *[f"{m}_z" for m in M])
+    return r6(search_season(name_index(rows, scope=("season",)), "Smal  Rng4", "1995-96").select("player_id", "name", "team", "role", "pts_per36", "mpg", "score"))

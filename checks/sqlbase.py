@@ -211,3 +211,32 @@ player AS (SELECT *, least(pow({share_le('polygon', 'bucket')}, 1.5) * 0.99, 0.9
 
 def r(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+
+
+def common_letters(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts of at most 60 letters: a bit for each letter of a, all set at first."""
+    full = f"((1::BIGINT << length({a})) - 1)"
+    marks = f"list_transform(string_split({b}, ''), lambda c: coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN ({a})[i + 1] = c THEN 1::BIGINT << i::INT ELSE 0 END)), 0)::BIGINT)"
+    return f"(length({a}) - bit_count(list_reduce(list_concat([{full}], {marks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
+def text_ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {common_letters(a, b)} / (length({a}) + length({b})) END"
+
+
+def name_scores(rows: str, needle: str) -> str:
+    """CTEs up to name_score(h, score) of the searched names h of `rows`."""
+    return f"""hs AS (SELECT DISTINCT h, string_split(h, ' ') AS w, '{needle}' AS q, list_distinct(string_split('{needle}', ' ')) AS qw FROM {rows} WHERE h <> ''),
+ws AS (SELECT t, {text_ratio("q", "t")} AS ratio FROM (SELECT DISTINCT unnest(w) AS t, q FROM hs)),
+best_word AS (SELECT h, max(ratio) AS ratio FROM (SELECT h, unnest(w) AS t FROM hs) JOIN ws USING (t) GROUP BY h),
+parts AS (SELECT *, list_sort(list_filter(qw, lambda x: list_contains(w, x))) AS ib, list_sort(list_filter(qw, lambda x: NOT list_contains(w, x))) AS oq,
+  list_sort(list_filter(list_distinct(w), lambda x: NOT list_contains(qw, x))) AS oh FROM hs),
+joined AS (SELECT *, array_to_string(ib, ' ') AS base, array_to_string(list_concat(ib, oq), ' ') AS x, array_to_string(list_concat(ib, oh), ' ') AS y FROM parts),
+name_score AS (SELECT h, (CASE WHEN h = q THEN 120 WHEN list_contains(w, q) THEN 115 WHEN len(list_filter(w, lambda t: starts_with(t, q))) > 0 THEN 110
+  WHEN starts_with(h, q) THEN 105 WHEN contains(h, q) THEN 100
+  ELSE greatest({text_ratio("q", "h")}, 0.95::DOUBLE * ratio, CASE WHEN len(ib) > 0 AND (len(oq) = 0 OR len(oh) = 0) THEN 100.0::DOUBLE
+    ELSE greatest({text_ratio("x", "y")}, CASE WHEN len(ib) > 0 THEN greatest({text_ratio("base", "x")}, {text_ratio("base", "y")}) ELSE 0 END) END) END)::DOUBLE AS score
+  FROM joined JOIN best_word USING (h))"""
+
+
+SEARCHED = "trim(regexp_replace(lower(player_name), '[^a-z0-9]+', ' ', 'g'))"

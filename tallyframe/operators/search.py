@@ -46,24 +46,31 @@ def tier_score(name: Column, needle: str) -> Column:
             .when(name.startswith(needle), 105.0).when(name.contains(needle), 100.0))
 
 
-def search_players(names: DataFrame, query: str, limit: int = 8, name: str = "player_name", key: str = "player_id",
-                   floor: float = 35.0) -> DataFrame:
-    """Best names, ties by name and id. Fuzzy scores are computed in Arrow batches, only for rows without a tier."""
-    needle = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split())
+def searched_needle(query: str) -> str:
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split())
+
+
+def name_score(text: Column, needle: str) -> Column:
+    """The tier of a name, or else its best ratio, found in Arrow batches of the names without a tier."""
+
+    def best(t: str | None) -> float | None:
+        return max(indel_ratio(needle, t), token_set_ratio(needle, t), 0.95 * max(indel_ratio(needle, w) for w in t.split())) if t else None
 
     @F.pandas_udf("double")
     def fuzzy(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return None
-            return max(indel_ratio(needle, t), token_set_ratio(needle, t), 0.95 * max(indel_ratio(needle, w) for w in t.split()))
-        return texts.map(one).astype(float)
-
-    rows = names.withColumn("_n", search_name(F.col(name))).where(F.col("_n") != "").withColumn("_t", tier_score(F.col("_n"), needle))
-    exact = rows.where("_t is not null").withColumn("score", F.col("_t"))
-    rough = rows.where("_t is null").withColumn("score", fuzzy("_n"))
-    both = exact.unionByName(rough).where(F.col("score") >= floor) if needle else exact.where("false")
-    return both.orderBy(F.col("score").desc(), F.lower(F.col(name)), key).limit(limit).drop("_n", "_t")
+        return texts.map(best).astype(float)
+
+    tier = tier_score(text, needle)
+    return F.coalesce(tier, fuzzy(F.when(tier.isNull(), text)))
+
+
+def search_players(names: DataFrame, query: str, limit: int = 8, name: str = "player_name", key: str = "player_id",
+                   floor: float = 35.0) -> DataFrame:
+    """Best names, ties by name and id, in one scan of the names. For many searches of the same names see `name_index`."""
+    needle = searched_needle(query)
+    rows = names.withColumn("_n", search_name(F.col(name))).where(F.col("_n") != "").withColumn("score", name_score(F.col("_n"), needle))
+    rows = rows.where(F.col("score") >= floor) if needle else rows.where("false")
+    return rows.orderBy(F.col("score").desc(), F.lower(F.col(name)), key).limit(limit).drop("_n")
 
 
 def subsequence_score(text: Column, query: str) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import preset as P
-from ..functions import scores
+from ..functions import rules, scores
 from ..operators import diagnoses as D
 from ..operators import history as H
 from ..operators import lineups as L
 from ..operators import model as M
+from ..operators.name_index import NameIndex, search_index
 from ..session import cut_lineage
 
 
@@ -56,6 +57,19 @@ def score(units: DataFrame, league: League) -> DataFrame:
 ALL_TRAITS = [f"+{t}" for t in P.TRAITS] + [f"-{t}" for t in [*P.TRAITS, "overlap"]]
 
 
+def search_season(index: NameIndex, query: str, season: str, limit: int = 8) -> DataFrame:
+    """The best names among one season's rows, as members to build a unit from. The index is over season features, scope season.
+    Of rows that are prospects the columns that tell their origin go along; a table without them holds none."""
+    found = search_index(index.within(season=season), query, limit)
+    also = [F.col(c) if c in found.columns else F.lit(None).cast(t).alias(c) for c, t in {
+        "prospect_id": "string", "counterpart_id": "long", "counterpart_name": "string"}.items()]
+    prospect = F.coalesce(F.col("is_prospect"), F.lit(False)) if "is_prospect" in found.columns else F.lit(False)
+    return found.select(
+        "player_id", F.col(index.name).alias("name"), F.coalesce("team", F.lit("")).alias("team"),
+        F.get(rules.unit_roles(rules.zcols()), F.lit(0)).alias("role"), F.coalesce("pts_per36", F.lit(0.0)).alias("pts_per36"),
+        F.when(F.col("gp") > 0, F.coalesce("min", F.lit(0.0)) / F.col("gp")).otherwise(0.0).alias("mpg"), prospect.alias("is_prospect"), *also, "score")
+
+
 def grade_diagnoses(scored: DataFrame, picks: DataFrame) -> DataFrame:
     """picks: unit_id, picked array<string> of marked traits."""
     truth = F.concat("strength_traits", "weakness_traits")
