@@ -99,38 +99,30 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 OP9 = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({judged_sql('documents')})"
 
 
-def _op3(depth: int = 3) -> str:
+def _op3() -> str:
     rules = [("block", "example.org", "/en/1"), ("block", "example.org", "/es/"), ("block", "com", "/de/"), ("allow", "com", "/fr/"), ("allow", "org", "/")]  # longest first
     fits = [f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules)) + " END"
     kind = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules)) + " END"
-    s, t = [f"s{k}" for k in range(depth)], [f"t{k}" for k in range(depth)]
-    parts = [f"coalesce(parts[{k + 1}], '')" for k in range(depth - 1)] + [f"coalesce(array_to_string(parts[{depth}:], '/'), '')"]
-    steps = [f"""
-WITH a AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    smoothed = "(sum(nb) OVER {w} + 10.0::DOUBLE * q) / (sum(nl) OVER {w} + 10.0::DOUBLE) AS q"
+    return f"""
+WITH RECURSIVE a AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, {rule} AS rule, {kind} AS by_rule, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM b),
-r AS (SELECT *, {', '.join(f'{p} AS {n}' for p, n in zip(parts, s))} FROM c),
-x0 AS (SELECT host, {', '.join(s)}, count(*) AS n, count(by_rule) AS nl, count(*) FILTER (WHERE by_rule = 'block') AS nb FROM r GROUP BY ALL)"""]
-    for k in range(depth):
-        node = ", ".join(["host", *t[:k]])
-        steps.append(f"""
-c{k} AS (SELECT {node}, s{k}, sum(n) AS n, sum(nl) AS nl, sum(nb) AS nb FROM x{k} GROUP BY ALL),
-d{k} AS (SELECT *, count(*) OVER w AS children, sum(n) OVER w AS p_n, (sum(nb) OVER w + 1.0::DOUBLE) / (sum(nl) OVER w + 2.0::DOUBLE) AS share FROM c{k} WINDOW w AS (PARTITION BY {node})),
-k{k} AS (SELECT {node}, s{k}, CASE WHEN s{k} = '' THEN '' WHEN children >= 8 AND children >= 0.2 * p_n THEN '*'
-  WHEN abs((nb + share) / (nl + 1.0::DOUBLE) - share) <= 1.96::DOUBLE * sqrt(share * (1.0::DOUBLE - share) / (nl + 1.0::DOUBLE)) THEN '~' ELSE s{k} END AS t{k} FROM d{k}),
-x{k + 1} AS (SELECT * FROM x{k} JOIN k{k} USING ({node}, s{k}))""")
-    steps.append(f"""
-q AS (SELECT host, {', '.join(t)}, sum(nl) AS nl, sum(nb) AS nb, (SELECT (sum(nb) + 1.0::DOUBLE) / (sum(nl) + 2.0::DOUBLE) FROM x{depth}) AS q FROM x{depth} GROUP BY ALL)""")
-    last = "q"
-    for k in range(depth + 1):
-        node = ", ".join(["host", *t[:k]])
-        steps.append(f"""
-q{k} AS (SELECT * REPLACE ((sum(nb) OVER w + 10.0::DOUBLE * q) / (sum(nl) OVER w + 10.0::DOUBLE) AS q) FROM {last} WINDOW w AS (PARTITION BY {node}))""")
-        last = f"q{k}"
-    return ",".join(steps) + f"""
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN {last}.q > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM r JOIN x{depth} USING (host, {', '.join(s)}) JOIN {last} USING (host, {', '.join(t)})
+r AS (SELECT *, {rule} AS rule, {kind} AS by_rule, string_split(regexp_replace(path, '^/', ''), '/') AS segs FROM b),
+x AS (SELECT host, segs, count(*) AS n, count(by_rule) AS nl, count(*) FILTER (WHERE by_rule = 'block') AS nb FROM r GROUP BY ALL),
+x0 AS (SELECT *, (SELECT (sum(nb) + 1.0::DOUBLE) / (sum(nl) + 2.0::DOUBLE) FROM x) AS q FROM x),
+tree(k, host, segs, n, nl, nb, tpl, q) AS (
+  SELECT 0, host, segs, n, nl, nb, []::VARCHAR[], {smoothed.format(w="(PARTITION BY host)")} FROM x0
+  UNION ALL
+  SELECT k + 1, host, segs, n, nl, nb, tpl, {smoothed.format(w="(PARTITION BY host, tpl)")} FROM (
+    SELECT k, host, segs, n, nl, nb, q, list_append(tpl, CASE WHEN s = '' THEN '' WHEN children >= 8 AND children >= 0.2 * p_n THEN '*'
+      WHEN abs((c_nb + share) / (c_nl + 1.0::DOUBLE) - share) <= 1.96::DOUBLE * sqrt(share * (1.0::DOUBLE - share) / (c_nl + 1.0::DOUBLE)) THEN '~' ELSE s END) AS tpl
+    FROM (SELECT *, count(*) OVER node AS paths, max(len(segs)) OVER node AS deep, count(DISTINCT s) OVER node AS children, sum(n) OVER node AS p_n,
+            (sum(nb) OVER node + 1.0::DOUBLE) / (sum(nl) OVER node + 2.0::DOUBLE) AS share, sum(nl) OVER child AS c_nl, sum(nb) OVER child AS c_nb
+          FROM (SELECT *, coalesce(segs[k + 1], '') AS s FROM tree) WINDOW node AS (PARTITION BY host, tpl), child AS (PARTITION BY host, tpl, s))
+    WHERE paths > 1 AND deep > k)),
+leaf AS (SELECT host, segs, arg_max(q, k) AS q FROM tree GROUP BY host, segs)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN q > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN leaf USING (host, segs)
 """
 
 

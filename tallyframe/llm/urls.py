@@ -6,8 +6,11 @@ merged into one child `~`; others keep their name. Labelled pages are counted at
 pages is smoothed towards its parent's, up to the host and the whole table; above `reject` it is blocked. Rules given by
 hand decide first and can serve as the labels.
 
-Pages without a url, or whose url has no `://`, have an empty host and path and are judged like others. Segments beyond `depth` count as
-one. Equal rows are judged alike; extra columns are ignored."""
+The tree grows while a node holds two distinct paths and one of them goes on, so it is as deep as paths share templates; each level is a grouped pass over
+the paths still open. A path that ends in such a node is its child with an empty name, as is one that ends in a slash there.
+
+Pages without a url, or whose url has no `://`, have an empty host and path and are judged like others. Equal rows are judged alike; extra
+columns are ignored."""
 
 from __future__ import annotations
 
@@ -16,7 +19,6 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import cut_lineage
 
-DEPTH = 3
 WILD = {"children": 8, "distinct_share": 0.2}
 Z = 1.96
 WEIGHT = 10.0
@@ -39,41 +41,48 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> list[Column]:
-    parts = F.split(F.regexp_replace(path, "^/", ""), "/", depth)
-    return [F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(depth)]
+def segments(path: Column) -> Column:
+    return F.split(F.regexp_replace(path, "^/", ""), "/")
+
 
+def template_tree(paths: DataFrame) -> DataFrame:
+    """paths (host, segments; n pages, nl labelled, nb of them blocked) -> (host, segments, template, q), q the smoothed share of blocked pages."""
+    counts = ("n", "nl", "nb")
+    top = paths.agg(((F.coalesce(F.sum("nb"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("nl"), F.lit(0)) + 2.0)).alias("q"))
+    rows = paths.crossJoin(F.broadcast(top)).withColumn("template", F.array().cast("array<string>"))  # one row
+    done, k = None, 0
+    while True:
+        here = rows.groupBy("host", "template").agg(F.sum("nl").alias("l"), F.sum("nb").alias("b"), F.count(F.lit(1)).alias("paths"), F.max(F.size("segments")).alias("deep"))
+        q = (F.col("b") + WEIGHT * F.col("q")) / (F.col("l") + WEIGHT)
+        grows = (F.col("paths") > 1) & (F.col("deep") > k)
+        rows = cut_lineage(rows.join(here, ["host", "template"]).select("host", "segments", *counts, "template", q.alias("q"), grows.alias("grows")))
+        ended = rows.where(~F.col("grows")).select("host", "segments", "template", "q")
+        done = ended if done is None else done.unionByName(ended)
+        rows = rows.where("grows").drop("grows").withColumn("s", F.coalesce(F.get("segments", F.lit(k)), F.lit("")))
+        if rows.isEmpty():
+            return done
+        node = ["host", "template"]
+        child = rows.groupBy(*node, "s").agg(*[F.sum(c).alias(c) for c in counts])
+        whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), *[F.sum(c).alias(f"p_{c}") for c in counts])
+        share = (F.col("p_nb") + 1.0) / (F.col("p_nl") + 2.0)
+        own = (F.col("nb") + share) / (F.col("nl") + 1.0)
+        alike = F.abs(own - share) <= Z * F.sqrt(share * (1.0 - share) / (F.col("nl") + 1.0))
+        many = (F.col("children") >= WILD["children"]) & (F.col("children") >= WILD["distinct_share"] * F.col("p_n"))
+        kind = F.when(F.col("s") == "", F.lit("")).when(many, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("s"))
+        kinds = child.join(whole, node).select(*node, "s", kind.alias("t"))
+        rows = rows.join(kinds, [*node, "s"]).withColumn("template", F.concat("template", F.array("t"))).drop("s", "t")
+        k += 1
 
-def judged_urls(pages: DataFrame, rules: list[tuple[str, str]], depth: int = DEPTH) -> DataFrame:
+
+def judged_urls(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """pages (page_id, url) -> (page_id, host, path, rule, verdict, template, blocked_share). The rules' verdicts are the labels."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, by_rule = ruled(F.col("host"), F.col("path"), rules)
-    s, t = [f"s{k}" for k in range(depth)], [f"t{k}" for k in range(depth)]
-    rows = rows.select("*", rule.alias("rule"), by_rule.alias("by_rule"), *[c.alias(n) for c, n in zip(segments(F.col("path"), depth), s)])
+    rows = rows.select("*", rule.alias("rule"), by_rule.alias("by_rule"), segments(F.col("path")).alias("segments"))
     labelled = F.col("by_rule").isNotNull().cast("long")
-    tree = rows.groupBy("host", *s).agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("nl"), F.sum(F.col("by_rule").eqNullSafe("block").cast("long")).alias("nb"))
-    tree = cut_lineage(tree)
-    for k in range(depth):
-        node = ["host", *t[:k]]
-        child = tree.groupBy(*node, s[k]).agg(*[F.sum(c).alias(c) for c in ("n", "nl", "nb")])
-        whole = child.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "nl", "nb")])
-        share = (F.col("p_nb") + 1.0) / (F.col("p_nl") + 2.0)
-        own = (F.col("nb") + share) / (F.col("nl") + 1.0)
-        alike = F.abs(own - share) <= Z * F.sqrt(share * (1.0 - share) / (F.col("nl") + 1.0))
-        kind = F.when(F.col(s[k]) == "", F.lit("")).when(
-            (F.col("children") >= WILD["children"]) & (F.col("children") >= WILD["distinct_share"] * F.col("p_n")), F.lit("*")).when(alike, F.lit("~")).otherwise(F.col(s[k]))
-        kinds = child.join(whole, node).select(*node, s[k], kind.alias(t[k]))
-        tree = cut_lineage(tree.join(kinds, [*node, s[k]]))
-    totals = tree.agg(F.coalesce(F.sum("nl"), F.lit(0)).alias("nl"), F.coalesce(F.sum("nb"), F.lit(0)).alias("nb"))
-    top = totals.select(((F.col("nb") + 1.0) / (F.col("nl") + 2.0)).alias("q"))
-    templates = tree.groupBy("host", *t).agg(F.sum("nl").alias("nl"), F.sum("nb").alias("nb")).crossJoin(F.broadcast(top))  # one row
-    templates = cut_lineage(templates)
-    for k in range(depth + 1):
-        node = ["host", *t[:k]]
-        here = templates.groupBy(*node).agg(F.sum("nl").alias("l"), F.sum("nb").alias("b"))
-        templates = cut_lineage(templates.join(here, node).withColumn("q", (F.col("b") + WEIGHT * F.col("q")) / (F.col("l") + WEIGHT)).drop("l", "b"))
-    shown = F.concat_ws("/", F.lit(""), *t)
-    found = tree.join(templates.select("host", *t, "q"), ["host", *t]).select("host", *s, shown.alias("template"), F.col("q").alias("blocked_share"))
+    blocked = F.col("by_rule").eqNullSafe("block").cast("long")
+    paths = cut_lineage(rows.groupBy("host", "segments").agg(F.count(F.lit(1)).alias("n"), F.sum(labelled).alias("nl"), F.sum(blocked).alias("nb")))
+    found = template_tree(paths).select("host", "segments", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), F.col("q").alias("blocked_share"))
     verdict = F.coalesce("by_rule", F.when(F.col("blocked_share") > REJECT, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(found, ["host", *s]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "blocked_share")
+    return rows.join(found, ["host", "segments"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "blocked_share")
