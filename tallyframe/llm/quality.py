@@ -48,11 +48,11 @@ def repeated_words(tokens: Column, width: int = 8) -> Column:
     windows = let(hashes, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(h) - (width - 1), F.lit(0))))
 
     def covered(w):
-        turns = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        turns = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = let(turns, lambda t: F.filter(F.transform(t, lambda x, k: F.when(
             ((k > 0) & (x["h"] == F.get(t, k - 1)["h"])) | (x["h"] == F.get(t, k + 1)["h"]), x["i"])), lambda i: i.isNotNull()))
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-        return F.aggregate(F.array_sort(twice), start, lambda a, i: F.struct(
+        return F.aggregate(F.sort_array(twice), start, lambda a, i: F.struct(
             (i + width).alias("end"), (a["n"] + width - F.greatest(F.lit(0), a["end"] - i)).alias("n")))["n"]
 
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
@@ -95,14 +95,17 @@ def distance(p: Column, q: Column) -> Column:
 def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     """(lang, ref_classes, ref_words, ref_counts): at most MAX_LANGUAGES + 1 rows; the row without lang is the sum of all."""
     rows = docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.select("lang", class_counts(F.col("text")).alias("c"), let(plain_words(F.col("text")), n_plain).alias("w"))
-    sums = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), *[F.sum(F.col("c")[i]).alias(n) for i, n in enumerate(CLASSES)])
+    marked = rows.select("lang", class_counts(F.col("text")).alias("c"))
+    sums = marked.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col("c")[i]).alias(n) for i, n in enumerate(CLASSES)])
     sums = cut_lineage(sums)
     exploded = rows.select("lang", F.explode(F.split(plain_words(F.col("text")), " +")).alias("word")).filter("word <> ''")
     counts = exploded.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     turn = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = cut_lineage(counts.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= common))
-    totals = sums.select("lang", "words")
+    first = counts.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= common).select("lang", "word", "n")
+    all_words = counts.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("word"), "n")
+    found = cut_lineage(first.unionByName(all_words))  # one pass over the words for both
+    top = found.filter("word is not null")
+    totals = found.filter("word is null").select("lang", F.col("n").alias("words"))
     ranked = sums.filter(F.col("lang").isNotNull() & (F.col("docs") >= MIN_DOCS)).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
     kept = ranked.select("lang")
 
@@ -117,7 +120,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
 
     each = shaped(ranked, top.join(kept, "lang", "left_semi"), totals, ["lang"])
     merged = top.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common)
-    whole = shaped(sums.agg(*[F.sum(c).alias(c) for c in CLASSES]), merged, totals.agg(F.sum("words").alias("words")), [])
+    whole = shaped(sums.agg(*[F.sum(c).alias(c) for c in CLASSES]), merged, totals.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")), [])
     return each.unionByName(whole.withColumn("lang", F.lit(None).cast("string")))
 
 
