@@ -1,7 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with a cache of the pieces between spaces.
 
 Both public BPE files split a text before every single space, so the text between two spaces gets the same ids alone as in
-place. Pieces repeat far more than texts do; a bounded cache of pieces makes the library's own work small."""
+place. Pieces repeat far more than texts do; a bounded cache of pieces makes the library's own work small. A text that holds
+the string of an added token (like `<|endoftext|>`) goes to the library whole, which gives such a string its own id."""
 
 from __future__ import annotations
 
@@ -26,7 +27,8 @@ class TokenIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)  # letters too many only cost a whole encoding
         self.space_joins, self.cache_pieces = space_joins, cache_pieces
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -98,13 +100,13 @@ class TokenIds:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for i in range(0, len(texts), 64):
-            cut = [self.pieces(t) for t in texts[i : i + 64]]
+            cut = [None if self.added.search(t) else self.pieces(t) for t in texts[i : i + 64]]
             if len(self.known) > self.cache_pieces:
                 self.older, self.known = self.known, {}
-            self.learn(set().union(*cut).difference(self.known))
+            self.learn(set().union(*filter(None, cut)).difference(self.known))
             get = self.known.__getitem__
-            for pieces in cut:
-                yield b"".join(map(get, pieces))
+            for text, pieces in zip(texts[i : i + 64], cut):
+                yield self.ids(text).tobytes() if pieces is None else b"".join(map(get, pieces))
 
 
 def token_ids(path: str, space_joins: bool) -> TokenIds:

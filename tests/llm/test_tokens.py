@@ -12,19 +12,19 @@ from tallyframe.llm.rows import identified, with_ids
 from tallyframe.llm.tokens import TokenIds
 
 ODD = ["a  b", "a   b \n c", "\n  b", " x", " ", "  ", "a \x1c b\x1d  c", "it's we'll  'S", "", "  x  y", "<|endoftext|> x", "é \u0301x  Å", "ΑΣ Σ", "1 2  33 4a",
+       "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext|><|endoftext|>x y", "<|startoftext|> a <|ENDOFTEXT|> <|endoftext", "<| endoftext |>  b",
        "a\0 b", "\t\t  x\r\n  y", "日本 語  テ", "Ünder, straße. ÀÉ! don't", "x " * 3000]
 
 
 @pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_ids_of_whole_texts(name, space):
-    coder = TokenIds(public_tokenizers.path(name), space, cache_pieces=20)
+    coder, library = TokenIds(public_tokenizers.path(name), space, cache_pieces=20), Tokenizer.from_file(public_tokenizers.path(name))
     for text, got in zip(ODD, coder.encode(ODD)):
-        assert np.frombuffer(got, coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(got, coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def whole(name, rows, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for i, x in rows}
 
 
@@ -65,7 +65,7 @@ def test_shard_round_trip(mode):
 
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 def test_files_hold_all_ids_in_order(spark, mode):
-    rows = [(i * 5 % 58, t) for i, t in enumerate(ODD * 3)] + [(99, None)]
+    rows = [(i * 5 % 97, t) for i, t in enumerate(ODD * 3)] + [(99, None)]
     docs = identified(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
     folder, manifest = B.write_ids(docs, public_tokenizers.path("word_bpe_49k.json"), 2, mode=mode)
     got = {r["uid"]: r for r in B.read_ids(folder, manifest, ids_too=True).collect()}
