@@ -15,10 +15,9 @@ from tallyframe.plans import units as U
 
 from . import lineups as K
 from . import sqlbase as S
-from .views import part_features, r6, stage, teams, text
+from .views import held, part_features, r6, stage, teams, text
 
 Q, O = {}, {}
-SMALL = M.TrainParams(trees=3)
 
 
 def query(name: str, sql: str | None = None):
@@ -38,17 +37,18 @@ def training(spark, sf):
     return stage(spark, sf, "training", lambda: L.training_rows(K.model_rows(spark, sf), outcomes(spark, sf).withColumnRenamed("w_pct", "win_pct")))
 
 
-_leagues: dict = {}
+def fitted(spark, sf):
+    """Out-of-fold predictions and what they came from: trained once for all model queries."""
+    return held(spark, sf, "out_of_fold", lambda: M.out_of_fold(training(spark, sf)))
 
 
 def league(spark, sf) -> U.League:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _leagues:
+    def build():
         styles = T.style_vectors(teams(spark, sf)).select(F.concat(F.lit("T"), F.col("team_id").cast("string")).alias("team"), "season",
                                                           *[f"style_{a}" for a in P.STYLE_AXES])
-        _leagues[key] = U.League(part_features(spark, sf), K.pace(spark, sf), stage(spark, sf, "team_styles", lambda: styles),
-                                 L.baseline_reference(K.metrics(spark, sf)), M.train(training(spark, sf), SMALL))
-    return _leagues[key]
+        return U.League(part_features(spark, sf), K.pace(spark, sf), stage(spark, sf, "team_styles", lambda: styles),
+                        L.baseline_reference(K.metrics(spark, sf)), M.train(training(spark, sf), held_out=fitted(spark, sf)))
+    return held(spark, sf, "league", build)
 
 
 def scored(spark, sf):
@@ -64,7 +64,7 @@ def training_rows(spark, sf):
 
 @query("out_of_fold_predictions")
 def out_of_fold_predictions(spark, sf):
-    oof, _ = M.out_of_fold(training(spark, sf), SMALL)
+    oof, _ = fitted(spark, sf)
     return r6(oof.select("unit_id", "season", "win_pct", "quality_oof", "linear_oof", "boosted_oof"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tallyframe.session import cut_lineage
 from tallyframe.sources import boxscore as B
 
 
-_stages: dict[tuple, DataFrame] = {}
+_stages: dict[tuple, Any] = {}
 
 
 def reset() -> None:
@@ -25,9 +26,14 @@ def reset() -> None:
 
 def stage(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A stage table: written once per session and input, read by every query that needs it."""
+    return held(spark, sf, name, lambda: cut_lineage(build()))
+
+
+def held(spark: SparkSession, sf: str, name: str, build: Callable[[], Any]) -> Any:
+    """Anything that reads stage tables and goes with them."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _stages:
-        _stages[key] = cut_lineage(build())
+        _stages[key] = build()
     return _stages[key]
 
 

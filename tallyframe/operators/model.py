@@ -5,8 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from .. import preset as P
 from ..functions.clean import clip
 from ..session import cut_lineage
 from . import moments as MO
+from .boosting import Boosted, BoostParams, boost
 from .ranking import pct_mid, rank_in_reference
 
 COLUMNS = [*P.QUALITY_FEATURES, *P.FIT_FEATURES, "win_pct"]
@@ -38,7 +37,7 @@ class TrainParams:
 class UnitModel:
     quality: MO.Ridge
     fit: MO.Ridge
-    boosted: GBTRegressionModel
+    boosted: Boosted
     blend: float
     validation: dict[str, float]
     reference: DataFrame = field(repr=False, default=None)  # kind, value
@@ -115,16 +114,6 @@ def cross_validated_fit(m: dict, fold_of: dict[str, int], quality_alpha: float,
     return best[1], best[2]
 
 
-def _assembled(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=COLUMNS[:-1], outputCol="_x").transform(df)
-
-
-def _boosted(df: DataFrame, p: TrainParams) -> GBTRegressionModel:
-    """Squared loss: the Huber loss is not among the losses of Spark's trees."""
-    return GBTRegressor(featuresCol="_x", labelCol="win_pct", weightCol="weight", predictionCol="_gbt", maxIter=p.trees, maxDepth=p.depth,
-                        stepSize=p.step, minInstancesPerNode=p.min_leaf, seed=42).fit(_assembled(df))
-
-
 def auc(df: DataFrame, label: str, score: str) -> float:
     """Area under the curve from average ranks (ties count half)."""
     from .ranking import with_ranks
@@ -151,20 +140,19 @@ def out_of_fold(rows: DataFrame, p: TrainParams = TrainParams()) -> tuple[DataFr
     q_alpha, q_lines = cross_validated_quality(m, fold_of, p.quality_alphas, target)
     f_alpha, o_lines = cross_validated_fit(m, fold_of, q_alpha, p.fit_alphas, p.inner_folds, target)
     fold = F.create_map(*[F.lit(x) for kv in fold_of.items() for x in kv])[F.col("season")]
-    tested = None
-    for f in sorted(set(fold_of.values())):
-        trees = _boosted(rows.where(fold != f), p)
-        part = trees.transform(_assembled(rows.where(fold == f))).drop("_x")
-        tested = part if tested is None else tested.unionByName(part)
+    keep = ["unit_id", "season", "weight", *COLUMNS]
+    boosted, tested = boost(rows.select(*keep), COLUMNS[:-1], "win_pct", "weight", fold, len(set(fold_of.values())), keep,
+                            BoostParams(p.trees, p.depth, p.step, p.min_leaf))
     out = tested.withColumns({
         "quality_oof": _by_fold(fold_of, [line_column(x, COLUMNS) for x in q_lines]),
-        "linear_oof": _by_fold(fold_of, [line_column(x, COLUMNS) for x in o_lines])}).withColumnRenamed("_gbt", "boosted_oof")
-    return cut_lineage(out), {"moments": m, "quality_alpha": q_alpha, "fit_alpha": f_alpha, "fold_of": fold_of, "quality_lines": q_lines, "rows": rows}
+        "linear_oof": _by_fold(fold_of, [line_column(x, COLUMNS) for x in o_lines])}).withColumnRenamed("held_out", "boosted_oof")
+    return cut_lineage(out), {"moments": m, "quality_alpha": q_alpha, "fit_alpha": f_alpha, "fold_of": fold_of, "quality_lines": q_lines, "rows": rows,
+                             "boosted": boosted[-1]}
 
 
-def train(rows: DataFrame, p: TrainParams = TrainParams()) -> UnitModel:
-    """rows: unit_id, season, win_pct and the 39 features."""
-    oof, made = out_of_fold(rows, p)
+def train(rows: DataFrame, p: TrainParams = TrainParams(), held_out: tuple[DataFrame, dict] | None = None) -> UnitModel:
+    """rows: unit_id, season, win_pct and the 39 features. `held_out`: what out_of_fold gave for these rows and parameters, if known."""
+    oof, made = held_out or out_of_fold(rows, p)
     m, rows = made["moments"], made["rows"]
     target = MO.target_line(len(COLUMNS), len(COLUMNS) - 1)
     mix = lambda b: (1.0 - b) * F.col("linear_oof") + b * F.col("boosted_oof")
@@ -190,7 +178,7 @@ def train(rows: DataFrame, p: TrainParams = TrainParams()) -> UnitModel:
                   "residual_p10": q["p10"], "residual_p90": q["p90"], "interval_coverage": inside, "units": q["units"], "seasons": q["seasons"],
                   "successful": q["successful"], "unsuccessful": q["unsuccessful"], "target_mean": q["target_mean"],
                   "quality_alpha": made["quality_alpha"], "fit_alpha": made["fit_alpha"], "blend": blend}
-    model = UnitModel(quality, fit, _boosted(rows, p), blend, validation)
+    model = UnitModel(quality, fit, made["boosted"], blend, validation)
     full = predict(rows, model)
     model.reference = cut_lineage(full.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("quality", "quality"), ("fit", "fit"), ("outcome", "outcome"))
@@ -200,7 +188,8 @@ def train(rows: DataFrame, p: TrainParams = TrainParams()) -> UnitModel:
 
 def predict(features: DataFrame, model: UnitModel) -> DataFrame:
     n = len(COLUMNS)
-    out = model.boosted.transform(_assembled(features)).drop("_x").withColumns({
+    out = features.withColumns({
+        "_gbt": model.boosted.prediction(),
         "quality": line_column(MO.prediction_line(model.quality, QUALITY, n), COLUMNS),
         "fit": line_column(MO.prediction_line(model.fit, FIT, n), COLUMNS)})
     linear = F.col("quality") + F.col("fit")
