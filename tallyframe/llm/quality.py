@@ -21,8 +21,8 @@ from tallyframe.session import cut_lineage
 
 SPACE = r"\x20\x09-\x0D"
 CLASSES = ["lower", "space", "upper", "beyond_ascii", "digit", "mark", "symbol"]
-RULES = {"min_chars": 200, "min_words": 50, "max_class_distance": 0.3, "max_word_distance": 0.5, "word_reach": None}
 WORD_REACH = (0.3, 25.0)  # set on sf0.01 and sf0.1: where clean texts end, from 0.88 of the reach at 52 words to 0.59 at 500
+RULES = {"min_chars": 200, "min_words": 50, "max_class_distance": 0.3, "max_word_distance": 0.5, "word_reach": WORD_REACH}
 COMMON_WORDS = 24
 MIN_DOCS = 50
 MAX_LANGUAGES = 200  # references kept and broadcast; rarer languages share the sum
@@ -103,8 +103,9 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
     turn = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     first = counts.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= common).select("lang", "word", "n")
     all_words = counts.groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("word"), "n")
-    found = cut_lineage(first.unionByName(all_words))  # one pass over the words for both
-    top = found.filter("word is not null")
+    pool = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common).select(F.lit(None).cast("string").alias("lang"), "word", "n")
+    found = cut_lineage(first.unionByName(all_words).withColumn("pooled", F.lit(False)).unionByName(pool.withColumn("pooled", F.lit(True))))  # one pass over the words
+    top = found.filter("word is not null and not pooled").drop("pooled")
     totals = found.filter("word is null").select("lang", F.col("n").alias("words"))
     ranked = sums.filter(F.col("lang").isNotNull() & (F.col("docs") >= MIN_DOCS)).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES)
     kept = ranked.select("lang")
@@ -119,8 +120,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS) -> DataFrame:
         return out.join(both, key, "left") if key else out.crossJoin(both)
 
     each = shaped(ranked, top.join(kept, "lang", "left_semi"), totals, ["lang"])
-    merged = top.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(common)
-    whole = shaped(sums.agg(*[F.sum(c).alias(c) for c in CLASSES]), merged, totals.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")), [])
+    whole = shaped(sums.agg(*[F.sum(c).alias(c) for c in CLASSES]), found.filter("pooled").select("word", "n"), totals.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words")), [])
     return each.unionByName(whole.withColumn("lang", F.lit(None).cast("string")))
 
 

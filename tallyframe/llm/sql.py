@@ -80,19 +80,21 @@ tot AS (SELECT lang, sum(n) AS words FROM wc GROUP BY lang),
 lists AS (SELECT lang, list(word ORDER BY n DESC, word DESC) AS rw, list(n::DOUBLE ORDER BY n DESC, word DESC) AS rn FROM top GROUP BY lang),
 each_ref AS (SELECT s.lang, [{', '.join(f's{i}' for i in range(7))}] AS rc, rw, list_append(rn, words - list_sum(rn)) AS rn
   FROM sums s LEFT JOIN lists l ON l.lang = s.lang LEFT JOIN tot t ON t.lang = s.lang WHERE s.lang IS NOT NULL AND docs >= 50 ORDER BY docs DESC, s.lang LIMIT 200),
-merged AS (SELECT word, sum(n) AS n FROM top GROUP BY word ORDER BY n DESC, word LIMIT 24),
+merged AS (SELECT word, sum(n) AS n FROM wc GROUP BY word ORDER BY n DESC, word LIMIT 24),
 all_ref AS (SELECT (SELECT [{', '.join(f'sum(s{i})' for i in range(7))}] FROM sums) AS rc, list(word ORDER BY n DESC, word DESC) AS rw,
   list_append(list(n::DOUBLE ORDER BY n DESC, word DESC), (SELECT sum(words) FROM tot) - sum(n)) AS rn FROM merged),
-j AS (SELECT f.*, coalesce(e.rc, a.rc) AS rc, coalesce(e.rw, a.rw) AS rw, coalesce(e.rn, a.rn) AS rn FROM f LEFT JOIN each_ref e ON e.lang = f.lang CROSS JOIN all_ref a),
+j AS (SELECT f.*, coalesce(e.rc, a.rc) AS rc, coalesce(e.rw, a.rw) AS rw, coalesce(e.rn, a.rn) AS rn, e.lang IS NOT NULL AS own_ref FROM f LEFT JOIN each_ref e ON e.lang = f.lang CROSS JOIN all_ref a),
 k AS (SELECT *, list_transform(rw, lambda x: len(list_filter(pw, lambda y: y = x))::DOUBLE) AS own0 FROM j),
 m AS (SELECT *, list_append(own0, len(pw) - list_sum(own0)) AS own FROM k),
 g AS (SELECT m.*, len(w)::BIGINT AS n_words, (list_sum(cls) - cls[2])::BIGINT AS word_chars, cls[7]::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
   CASE WHEN list_sum(cls) >= 200 AND len(w) >= 50 THEN {_jsd(_share('cls'), _share('rc'))} END AS class_distance,
-  CASE WHEN len(w) >= 50 AND len(pw) > 0 THEN {_jsd(_share('own'), _share('rn'))} END AS word_distance
+  CASE WHEN len(w) >= 50 AND len(pw) > 0 THEN {_jsd(_share('own'), _share('rn'))} END AS word_distance,
+  CASE WHEN own_ref THEN {_jsd("list_transform(rn, lambda v, i: CASE WHEN i = len(rn) THEN 1.0 ELSE 0.0 END)", _share('rn'))} END AS reach
   FROM m LEFT JOIN rep USING (rid))
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(class_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.5 AS kept FROM g
+SELECT * EXCLUDE (reach), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(class_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.5
+    AND coalesce(word_distance * word_distance <= (0.3 + 25.0 / n_words) * reach * reach, true) AS kept FROM g
 """
 
 

@@ -49,7 +49,7 @@ def test_empty_table_and_clashing_columns(spark):
     assert [x["kept"] for x in Q.judged(docs).collect()] == [False, False]
 
 
-def test_the_pipeline_rejects_texts_of_another_language_and_without_common_words(spark):
+def test_the_query_and_the_pipeline_reject_texts_of_another_language_and_without_common_words(spark):
     r = random.Random(5)
 
     def text(lang, n, common=0.3):
@@ -62,3 +62,10 @@ def test_the_pipeline_rejects_texts_of_another_language_and_without_common_words
     few = [(3000, text("q", 300), "rare"), (3001, text("q", 300), None)]
     docs = spark.createDataFrame([(*x, "s", len(x[1])) for x in rows + other + bare + few], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x["doc_id"] for x in corpus_pipeline.quality_rules(spark, docs, "").collect()} == {x[0] for x in rows + few}
+    assert {x["doc_id"] for x in Q.judged(docs).filter("kept").collect()} == {x[0] for x in rows + few}
+
+
+def test_the_pool_counts_every_word_of_every_language(spark):
+    rows = [(k, ("w" + x + " ") * 3 + "shared", x) for k, x in enumerate("abcdefgh")]
+    whole = Q.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common=1).filter("lang is null").first()
+    assert (whole["ref_words"], whole["ref_counts"]) == (["shared"], [8.0, 24.0])
