@@ -185,9 +185,10 @@ def table_rows(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
 def rows_with_headers(rows: DataFrame, required: list[str], columns: list[str]) -> DataFrame:
     """Rows of the first table per page that has all required headers, its cells by header."""
     fits = rows.where(F.size(F.array_except(F.array(*map(F.lit, required)), "headers")) == 0)
-    first = fits.groupBy("page").agg(F.min("table_no").alias("table_no"))
+    # a window, as a join would parse all pages a second time
+    first = F.min("table_no").over(Window.partitionBy("page"))
     n = F.least(F.size("headers"), F.size("cells"))
-    named = fits.join(first, ["page", "table_no"]).withColumn("m", F.map_from_arrays(F.slice("headers", 1, n), F.slice("cells", 1, n)))
+    named = fits.where("page is not null").withColumn("_first", first).where("table_no = _first").withColumn("m", F.map_from_arrays(F.slice("headers", 1, n), F.slice("cells", 1, n)))
     return named.select("page", "row_no", "title", "link", *[F.try_element_at("m", F.lit(c)).alias(c) for c in columns])
 
 

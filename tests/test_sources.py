@@ -60,3 +60,11 @@ def test_search(spark):
     assert [r.team_id for r in S.search_teams(teams, "lkr").collect()] == [1]
     r = S.search_teams(teams, "bos").first()
     assert (r.team_id, r.score) == (2, 100.0)
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([("a", "<table><tr><th>X</th></tr><tr><td>1</td></tr></table>" * 2), (None, "<table><tr><th>X</th></tr><tr><td>2</td></tr></table>")],
+                                  "page_id string, html string")
+    rows = landed.rows_with_headers(landed.table_rows(pages), ["X"], ["X"])
+    assert [(r.page, r.X) for r in rows.collect()] == [("a", "1")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
