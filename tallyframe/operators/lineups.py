@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import preset as P
 from ..functions import rules
 from ..functions.clean import clip, label_parts, number
+from ..session import cut_lineage
 from .ranking import LIMIT, pct_mid, rank_in_reference
 from .teams import keep_best_tier
 from .upserts import first_per_key
@@ -19,24 +20,26 @@ UNIT = ["team", "season"]
 
 # ---- names to roster rows -----------------------------------------------------------
 def match_labels(labels: DataFrame, roster: DataFrame) -> DataFrame:
-    """labels: team, season, pos, label. Adds player_id by the first tier that fits: the exact name when unique, initial and
-    last name (smallest id), a name ending when unique. Every tier is an equi-join on a derived key."""
-    name = F.lower("player_name")
-    words = F.split(F.col("player_name"), r"\s+")
-    exact = roster.groupBy(*UNIT, name.alias("k1")).agg(F.count(F.lit(1)).alias("n1"), F.min("player_id").alias("id1"))
-    exact = exact.where("n1 = 1").drop("n1")
-    short = roster.where(F.size(words) >= 2).groupBy(
-        *UNIT, F.lower(F.substring(words[0], 1, 1)).alias("k2a"), F.lower(F.element_at(words, -1)).alias("k2b")).agg(F.min("player_id").alias("id2"))
-    endings = roster.select(*UNIT, "player_id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length(name)), lambda i: F.substr(name, i))).alias("k3"))
-    ending = endings.groupBy(*UNIT, "k3").agg(F.count(F.lit(1)).alias("n3"), F.min("player_id").alias("id3")).where("n3 = 1").drop("n3")
+    """labels: team, season, pos, label (a few for each team season). Adds player_id by the first tier that fits: the exact name when unique,
+    initial and last name (smallest id), a name ending when unique. Each roster row meets the labels of its team season and goes on only with those it fits."""
+    name, words = F.lower("player_name"), F.split(F.col("player_name"), r"\s+")
     text = F.trim("label")
     pattern = r"^([A-Za-z])\.?\s+(.+)$"
-    asked = labels.withColumns({
-        "k1": F.lower(text), "k2a": F.lower(F.regexp_extract(text, pattern, 1)), "k2b": F.lower(F.regexp_extract(text, pattern, 2)),
-        "k3": F.lower(F.element_at(F.split(text, r"\s+"), -1))})
-    out = asked.join(exact, [*UNIT, "k1"], "left").join(short, [*UNIT, "k2a", "k2b"], "left").join(ending, [*UNIT, "k3"], "left")
-    return out.withColumn("player_id", F.coalesce("id1", "id2", "id3")).drop("k1", "k2a", "k2b", "k3", "id1", "id2", "id3")
+    keys = {"k1": F.lower(text), "k2a": F.lower(F.regexp_extract(text, pattern, 1)), "k2b": F.lower(F.regexp_extract(text, pattern, 2)),
+            "k3": F.lower(F.element_at(F.split(text, r"\s+"), -1))}
+    asked = labels.withColumns(keys)
+    wanted = cut_lineage(asked.groupBy(*UNIT).agg(F.collect_set(F.struct(*keys)).alias("_asked")))
+    first, last = F.lower(F.substring(words[0], 1, 1)), F.lower(F.element_at(words, -1))
+    fits = lambda x: F.array(*[F.coalesce(c, F.lit(False)) for c in (
+        name == x["k1"], (F.size(words) >= 2) & (first == x["k2a"]) & (last == x["k2b"]), (x["k3"] != "") & name.endswith(x["k3"]))])
+    tried = F.transform("_asked", lambda x: F.struct(x.alias("of"), fits(x).alias("fits")))
+    hits = roster.select(*UNIT, "player_id", "player_name").join(wanted, UNIT).select(
+        *UNIT, "player_id", F.explode(F.filter(tried, lambda x: F.array_contains(x["fits"], True))).alias("x"))
+    at = lambda i: F.get("x.fits", F.lit(i))
+    least = lambda i: F.min(F.when(at(i), F.col("player_id")))
+    alone = lambda i: F.when(F.count_if(at(i)) == 1, least(i))
+    found = hits.groupBy(*UNIT, *[F.col(f"x.of.{k}").alias(k) for k in keys]).agg(F.coalesce(alone(0), least(1), alone(2)).alias("player_id"))
+    return asked.join(found, [*UNIT, *keys], "left").drop(*keys)
 
 
 def starting_lineups(groups: DataFrame, roster: DataFrame, min_unit_games: float = 10, min_player_games: float = 20,
@@ -48,9 +51,10 @@ def starting_lineups(groups: DataFrame, roster: DataFrame, min_unit_games: float
     top = first_per_key(keep_best_tier(usable, "_tier", UNIT), UNIT, [F.col("min").desc(), F.col("group_name")])
     parts = label_parts(F.col("group_name"))
     top = top.where(F.size(parts) >= 5).withColumn("lineup_mpg", F.coalesce(F.try_divide("min", "gp"), F.lit(0.0)))
-    labels = top.select(*UNIT, "lineup_mpg", F.posexplode(F.slice(parts, 1, 5)).alias("pos", "label"))
+    # the few rows a unit has are stages: Spark sees their size and sends them to the roster, never the roster to them
+    labels = cut_lineage(top.select(*UNIT, "lineup_mpg", F.posexplode(F.slice(parts, 1, 5)).alias("pos", "label")))
     matched = match_labels(labels, roster).where("player_id is not null")
-    matched = first_per_key(matched, [*UNIT, "player_id"], [F.col("pos")])
+    matched = cut_lineage(first_per_key(matched, [*UNIT, "player_id"], [F.col("pos")]))
     rows = matched.join(roster, [*UNIT, "player_id"])
     whole = rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("_n"), F.min("min").alias("_low")).where(
         (F.col("_n") == 5) & (F.col("_low") >= min_minutes)).select(*UNIT)
@@ -58,11 +62,11 @@ def starting_lineups(groups: DataFrame, roster: DataFrame, min_unit_games: float
 
     w = Window.partitionBy(*UNIT).orderBy(F.col("min").desc(), "player_id")
     heavy = roster.where(F.col("gp") >= min_player_games).withColumn("_rn", F.row_number().over(w)).where("_rn <= 5")
-    heavy = heavy.withColumn("pos", F.col("_rn") - 1).drop("_rn")
+    heavy = cut_lineage(heavy.select(*UNIT, "player_id", (F.col("_rn") - 1).alias("pos")))
     full = heavy.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("_n")).where("_n = 5").select(*UNIT)
     fallback = (heavy.join(full, UNIT).join(whole, UNIT, "left_anti")
                 .select(*UNIT, "player_id", "pos", F.lit(None).cast("double").alias("lineup_mpg"), F.lit("minutes_fallback").alias("source")))
-    chosen = found.unionByName(fallback).join(roster, [*UNIT, "player_id"])
+    chosen = cut_lineage(found.unionByName(fallback)).join(roster, [*UNIT, "player_id"])
     return with_scored_roles(chosen, UNIT)
 
 

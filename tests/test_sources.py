@@ -50,6 +50,17 @@ def test_label_matching(spark):
     assert got == {"ANN LEE": 1, "A. Lee": 1, "B. Dyke": 3, "Poe": 4, "X. Lee": None, "di": 5}
 
 
+def test_label_matching_handles_no_row_per_name_ending(spark):
+    """Endings of all names were rows, sent to every task where the roster's files were small."""
+    roster = spark.createDataFrame([("T", "s", i, f"Ann Lee{i}") for i in range(9)] + [("T", "s", 20, "Ann Lee20"), ("T", None, 7, "Ann Lee7")],
+                                   "team string, season string, player_id int, player_name string")
+    labels = spark.createDataFrame([("T", "s", 0, "A. Lee3"), ("T", "s", 1, "0"), ("T", "s", 2, "e7"), ("T", "s", 3, " "), ("T", "s", 4, None)],
+                                   "team string, season string, pos int, label string")
+    out = L.match_labels(labels, roster)
+    assert "sequence(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.pos: r.player_id for r in out.collect()} == {0: 3, 1: None, 2: 7, 3: None, 4: None}
+
+
 def test_search(spark):
     assert round(S.indel_ratio("lebron", "lebrn"), 4) == 90.9091 and S.token_set_ratio("james lebron", "lebron james jr") == 100.0
     names = spark.createDataFrame([(1, "LeBron James"), (2, "James Harden"), (3, "Bronny James"), (4, "Zed")], "player_id int, player_name string")
