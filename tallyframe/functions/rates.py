@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..preset import PROJECTION_INPUT_RANGES
+from ..session import cut_lineage
 from .clean import clip, height_inches, number, ratio
 
 
@@ -34,7 +35,7 @@ def with_team_totals(df: DataFrame, keys=("season", "team")) -> DataFrame:
     """Team FGM and MIN on each row. Aggregated first (partial sums), then joined: a big team
     is never one window partition."""
     keys = list(keys)
-    totals = df.groupBy(*keys).agg(F.sum("fgm").alias("team_fgm"), F.sum("min").alias("team_min"))
+    totals = cut_lineage(df.groupBy(*keys).agg(F.sum("fgm").alias("team_fgm"), F.sum("min").alias("team_min")))
     return df.join(totals, keys, "left")
 
 

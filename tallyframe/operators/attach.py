@@ -35,3 +35,8 @@ def rows_per_group(df: DataFrame, keys: list[str]) -> int:
     if not keys:
         return df.count()
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def keys_repeat(df: DataFrame, keys: list[str]) -> bool:
+    """Do two rows share a key? Only the keys are shuffled."""
+    return not df.groupBy(*keys).count().where("count > 1").isEmpty()

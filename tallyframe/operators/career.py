@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import preset as P
 from ..functions import rules, scores
 from ..functions.clean import draft_value, height_bucket, height_inches, number, season_start, weight_pounds
-from .attach import attach_row
+from ..session import cut_lineage
+from .attach import attach_row, keys_repeat
 from .ranking import LIMIT, pct_avg, pct_le, rank_in_reference, with_ordinal, with_percentiles, with_ranks, with_zscores
 
 SEASON_KEY = ["player_id", "season"]
@@ -16,9 +17,10 @@ SEASON_KEY = ["player_id", "season"]
 
 def normalize_seasons(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """z-scores and average-rank percentiles within the season, z-scores within season and position."""
-    df = with_percentiles(df, P.METRICS, ["season"], SEASON_KEY, limit=limit)
-    df = with_zscores(df, P.METRICS, ["season"], "_z")
-    return with_zscores(df, P.METRICS, ["season", "position_group"], "_pos_z")
+    ranked = with_percentiles(df, P.METRICS, ["season"], SEASON_KEY, limit=limit)
+    source = None if keys_repeat(df, SEASON_KEY) else df  # ranking leaves one row a key
+    out = with_zscores(ranked, P.METRICS, ["season"], "_z", source=source)
+    return with_zscores(out, P.METRICS, ["season", "position_group"], "_pos_z", source=source)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -64,7 +66,7 @@ def roll_up(df: DataFrame) -> DataFrame:
 
 def career_percentiles(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Global percentiles, and percentiles within the height bucket (turnovers reversed)."""
-    df = with_percentiles(df, P.METRICS, [], ["player_id"], "_global_pctile", limit=limit)
+    df = cut_lineage(with_percentiles(df, P.METRICS, [], ["player_id"], "_global_pctile", limit=limit))  # read several times below
     df = df.withColumns({"height_bucket": height_bucket(height_inches(F.col("height"))), "_neg_tov": -F.col("tov_per36")})
     outputs = {f"{m}_career_pctile": ("_neg_tov" if m == "tov_per36" else m, pct_avg) for m in P.METRICS}
     return with_ranks(df, outputs, ["height_bucket"], ["player_id"], limit, 50.0).drop("_neg_tov")

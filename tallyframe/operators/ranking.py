@@ -6,7 +6,8 @@ Every percentile definition is arithmetic on three counts per row and metric: va
 
 Groups beyond `limit` rows are ranked by their distinct values: equal values are counted before the sort, the counts are
 sorted in ranges across all groups, running sums within a range are shifted by the sums of the ranges before it, and
-the counts are joined back to the rows. Null groups are groups, and null values take no part in any sort. The limit decides
+the counts are joined back to the rows. Up to `PLACES` distinct values, counted first, they are sent to the rows, which are not shuffled at all; beyond, keys and values
+alone are shuffled, and the rows once, for the ranks found. Null groups are groups, and null values take no part in any sort. The limits decide
 the way only, never the result.
 """
 
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .attach import attach_groups, match, rows_per_group
+from .attach import attach_groups, keys_repeat, match, rows_per_group
 
-LIMIT = 1_000_000
+LIMIT = 100_000  # rows of a group that one task sorts
+PLACES = 1_000_000  # distinct values, over all groups and metrics, that are sent to every task
 SALTS = 64
 Counts = Callable[[Column, Column, Column], Column]
 
@@ -80,41 +82,63 @@ def with_ranks(df: DataFrame, outputs: dict[str, tuple[str, Counts]], group: lis
     grouped = group or ["_all"]
     if not group:
         df = df.withColumn("_all", F.lit(0))
-    entries = ", ".join(f"named_struct('m', {i}, 'v', {v})" for i, v in enumerate(values.values()))
+    entries = _entries(values)
     ids = list(dict.fromkeys([*grouped, *key]))
     keep = [c for c in df.columns if c not in ids]
+    made = [f"`{o}`" if default is None else f"coalesce(`{o}`, {default}D) AS `{o}`" for o in outputs]
+    part = [*grouped, "m"]
+    if split:
+        wide = _ranked_by_values(df, outputs, values, formulas, grouped, ids, keep)
+        return wide.selectExpr(*[c for c in ids if c != "_all"], *[f"`{c}`" for c in keep], *made)
     row = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in keep) + ")" if keep else "named_struct('_x', 1)"
     # the row itself travels with its first metric only
     long = df.selectExpr(*ids, f"{row} AS row", f"explode(array({entries})) AS e").selectExpr(
         *ids, "if(e.m = 0, row, null) AS row", "e.m", "e.v")
-
-    part = [*grouped, "m"]
-    if split:
-        counts = long.where("v is not null").groupBy(*part, "v").agg(F.count(F.lit(1)).alias("cnt"))
-        placed = running(counts, part, "v", "cnt").select(
-            *part, "v", (F.col("_le") - F.col("cnt")).alias("lt"), F.col("_le").alias("le"), F.col("_n").alias("n"))
-        known, empty = long.where("v is not null"), long.where("v is null")
-        none = F.lit(None).cast("bigint")
-        ranked = match(known, placed, [*part, "v"]).unionByName(empty.withColumns({"lt": none, "le": none, "n": none}))
-    else:
-        # rows without value are spread: they are not ranked
-        long = long.withColumn("s", F.when(F.col("v").isNull(), 1 + F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0))
-        w = Window.partitionBy(*part, "s").orderBy("v")
-        ranked = long.withColumns({
-            "lt": F.rank().over(w) - 1,
-            "le": F.count("v").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-            "n": F.count("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        })
+    # rows without value are spread: they are not ranked
+    long = long.withColumn("s", F.when(F.col("v").isNull(), 1 + F.pmod(F.xxhash64(*key), F.lit(SALTS))).otherwise(0))
+    w = Window.partitionBy(*part, "s").orderBy("v")
+    ranked = long.withColumns({
+        "lt": F.rank().over(w) - 1,
+        "le": F.count("v").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "n": F.count("v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
 
     lt, le, n = (F.col(c).cast("double") for c in ("lt", "le", "n"))
     ranked = ranked.select(*ids, "row", "m", *[F.when(F.col("v").isNotNull(), f(lt, le, n)).alias(f"_r{k}") for k, f in enumerate(formulas)])
     wide = ranked.groupBy(*ids).agg(
         F.first("row", ignorenulls=True).alias("row"),
         *[F.expr(f"max(if(m = {names.index(v)}, _r{formulas.index(f)}, null)) AS `{out}`") for out, (v, f) in outputs.items()])
-    made = [f"`{o}`" if default is None else f"coalesce(`{o}`, {default}D) AS `{o}`" for o in outputs]
     return wide.selectExpr(*[c for c in ids if c != "_all"], *[f"row.`{c}` AS `{c}`" for c in keep], *made)
 
 
+def _entries(values: dict[str, str]) -> str:
+    return ", ".join(f"named_struct('m', {i}, 'v', {v})" for i, v in enumerate(values.values()))
+
+
+def _ranked_by_values(df: DataFrame, outputs: dict[str, tuple[str, Counts]], values: dict[str, str], formulas: list[Counts],
+                      grouped: list[str], ids: list[str], keep: list[str]) -> DataFrame:
+    """Ranks of distinct values, found once and joined back. As in the other way, rows that share a key become one."""
+    names, part = list(values), [*grouped, "m"]
+    long = df.selectExpr(*ids, f"explode(array({_entries(values)})) AS e").selectExpr(*ids, "e.m", "e.v").where("v is not null")
+    counts = long.groupBy(*part, "v").agg(F.count(F.lit(1)).alias("cnt"))
+    lt, le, n = (c.cast("double") for c in (F.col("_le") - F.col("cnt"), F.col("_le"), F.col("_n")))
+    placed = cut_lineage(running(counts, part, "v", "cnt").select(*part, "v", *[f(lt, le, n).alias(f"_r{k}") for k, f in enumerate(formulas)]))
+    again = keys_repeat(df, ids)
+    if placed.count() <= PLACES:
+        out = df
+        for i, v in enumerate(values.values()):
+            own = placed.where(F.col("m") == i).select(*grouped, F.col("v").alias("_v"), *[F.col(f"_r{k}").alias(f"_r{k}_{i}") for k in range(len(formulas))])
+            out = match(out.withColumn("_v", F.expr(v)), F.broadcast(own), [*grouped, "_v"], "left")  # counted
+        out = out.select(*ids, *keep, *[F.col(f"_r{formulas.index(f)}_{names.index(v)}").alias(o) for o, (v, f) in outputs.items()])
+        if not again:
+            return out
+        return out.groupBy(*ids).agg(F.first(F.struct(F.lit(1).alias("_x"), *keep)).alias("_row"), *[F.max(o).alias(o) for o in outputs]).select(
+            *ids, *[F.col("_row")[c].alias(c) for c in keep], *outputs)
+    found = match(long, placed, [*part, "v"]).groupBy(*ids).agg(*[
+        F.expr(f"max(if(m = {names.index(v)}, _r{formulas.index(f)}, null)) AS `{o}`") for o, (v, f) in outputs.items()])
+    return match(df.dropDuplicates(ids) if again else df, found, ids, "left")
+
+
 def with_percentiles(df: DataFrame, metrics: list[str], group: list[str], key: list[str], suffix: str = "_pctile",
                      formula: Counts = pct_avg, limit: int = LIMIT, default: float | None = 50.0) -> DataFrame:
     return with_ranks(df, {f"{m}{suffix}": (m, formula) for m in metrics}, group, key, limit, default)
@@ -142,13 +166,15 @@ def with_ordinal(df: DataFrame, value: str, group: list[str], key: list[str], ou
 
 
 def with_zscores(df: DataFrame, metrics: list[str], group: list[str], suffix: str = "_z", sample: bool = False,
-                 flat: str = "zero", floor: float = 1e-9) -> DataFrame:
+                 flat: str = "zero", floor: float = 1e-9, source: DataFrame | None = None) -> DataFrame:
     """(v - mean) / deviation per group; null gives 0. `flat` says what a group without spread
-    does: 'zero' gives 0, 'unit' divides by 1, 'floor' divides by at least `floor`."""
+    does: 'zero' gives 0, 'unit' divides by 1, 'floor' divides by at least `floor`. `source`: the same rows where they are cheaper to read."""
     spread = "stddev_samp" if sample else "stddev_pop"
     value = "nanvl(double(`{m}`), null)"
-    stats = df.groupBy(*group).agg(*[
+    stats = (df if source is None else source).groupBy(*group).agg(*[
         F.expr(e) for m in metrics for e in (f"avg({value.format(m=m)}) AS `_avg_{m}`", f"{spread}({value.format(m=m)}) AS `_sd_{m}`")])
+    if group:  # written, Spark sees how few groups there are and does not shuffle the rows to meet them
+        stats = cut_lineage(stats)
     joined = attach_groups(df, stats, group)
     # fixed: deviations up to 1e-12 are rounding, not spread
     rule = {"zero": "if(`_sd_{m}` > 1e-12D, ({v} - `_avg_{m}`) / `_sd_{m}`, null)",

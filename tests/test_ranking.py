@@ -76,3 +76,22 @@ def test_null_groups_mostly_null_values_one_value_and_tiny_values(spark, limit):
 def test_zscores_of_a_null_group(spark):
     df = spark.createDataFrame([(1, None, 1.0), (2, None, 3.0), (3, "b", 5.0)], "id int, g string, v double")
     assert {r.id: r.v_z for r in R.with_zscores(df, ["v"], ["g"]).collect()} == {1: -1.0, 2: 1.0, 3: 0.0}
+
+
+@pytest.mark.parametrize("places", [10**6, 5])
+def test_ways_of_ranking_agree_on_repeated_and_null_keys(spark, monkeypatch, places):
+    rng = np.random.default_rng(4)
+    rows = [(int(i) if i % 17 else None, g, float(v) if v else None, float(i % 5)) for i, g, v in zip(rng.integers(0, 150, 300), rng.choice(["a", "b", None], 300).tolist(), rng.integers(0, 9, 300))]
+    df = spark.createDataFrame(rows, "id bigint, g string, x double, y double")
+    outputs = {"p": ("x", R.pct_avg), "q": ("y", R.pct_le), "r": ("x", R.pct_le)}
+    monkeypatch.setattr(R, "PLACES", places)
+    by_sort, by_value = (R.with_ranks(df, outputs, ["g"], ["id"], limit, 50.0) for limit in (10**6, 20))
+    assert by_sort.columns == by_value.columns
+    found = [sorted((tuple(None if v is None else round(v, 6) if isinstance(v, float) else v for v in r) for r in x.select("g", "id", "p", "q", "r").collect()), key=lambda t: str(t)) for x in (by_sort, by_value)]
+    assert found[0] == found[1] and len(found[0]) == df.select("g", "id").distinct().count()
+
+
+def test_rows_are_not_shuffled_for_ranks_of_few_values(spark):
+    df = spark.range(2000).selectExpr("id", "id % 2 AS g", "double(id % 7) AS x", "repeat('w', 50) AS wide")
+    out = R.with_percentiles(df, ["x"], ["g"], ["id"], limit=100)
+    assert out.count() == 2000 and "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
