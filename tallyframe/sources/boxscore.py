@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import season_label
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_rows
 
 ENTITY_KEYS = {"supplier": "l_suppkey", "part": "l_partkey", "customer": "o_custkey"}
 NAMES = {"supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name"), "customer": ("c_custkey", "c_name")}
@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def play_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item with the 0/1 box-score marks and the orderer's nation."""
     line = table(spark, sf_dir, "lineitem")
+    spread_rows(spark, line.count())
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     c = F.col
@@ -29,8 +30,8 @@ def play_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = c("l_returnflag") != "R"
     three, free = c("l_discount") >= 0.05, c("l_tax") >= 0.04
-    joined = (line.join(orders, line.l_orderkey == orders.o_orderkey)
-              .join(customer, orders.o_custkey == customer.c_custkey))
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)  # first: a quarter of the rows of the lines
+    joined = line.join(placed, line.l_orderkey == placed.o_orderkey)
     return joined.select(
         "l_orderkey", "l_partkey", "l_suppkey", "o_custkey", c("c_nationkey").alias("nation"),
         F.year("l_shipdate").alias("season_start"), c("l_quantity").alias("min"),

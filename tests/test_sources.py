@@ -79,3 +79,18 @@ def test_pages_are_parsed_once(spark):
     rows = landed.rows_with_headers(landed.table_rows(pages), ["X"], ["X"])
     assert [(r.page, r.X) for r in rows.collect()] == [("a", "1")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_partitions_grow_with_rows(spark):
+    """A task's share of a big table stays bounded; small tables change nothing, and a number once raised stays."""
+    from tallyframe import session as T
+
+    before = spark.conf.get(T.INITIAL, None)
+    try:
+        T.spread_rows(spark, 10)
+        assert spark.conf.get(T.INITIAL, None) == before
+        T.spread_rows(spark, 40 * T.TASK_ROWS + 1)
+        T.spread_rows(spark, 10)
+        assert spark.conf.get(T.INITIAL) == "41"
+    finally:
+        spark.conf.set(T.INITIAL, before) if before else spark.conf.unset(T.INITIAL)
