@@ -95,3 +95,16 @@ def test_rows_are_not_shuffled_for_ranks_of_few_values(spark):
     df = spark.range(2000).selectExpr("id", "id % 2 AS g", "double(id % 7) AS x", "repeat('w', 50) AS wide")
     out = R.with_percentiles(df, ["x"], ["g"], ["id"], limit=100)
     assert out.count() == 2000 and "Exchange hash" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_metric_of_many_values_does_not_send_the_others_the_long_way(spark, monkeypatch):
+    monkeypatch.setattr(R, "PLACES", 100)
+    rows = [(i if i % 50 else None, "ab"[i % 2] if i % 7 else None, float(i % 3), float(i * 37 % 1009) if i % 11 else None, None) for i in range(900)]
+    rows += [(5, "b", 7.0, 0.5, None), (5, "b", 0.0, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, few double, many double, none double")
+    outputs = {"p": ("few", R.pct_avg), "q": ("many", R.pct_le), "r": ("few", R.pct_le), "s": ("many", R.pct_avg), "t": ("none", R.pct_le)}
+    by_sort, by_value = (R.with_ranks(df, outputs, ["g"], ["id"], limit, 50.0) for limit in (10**6, 20))
+    plan = by_value._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2  # few and none; many is matched by key
+    found = [sorted((str([None if v is None else round(v, 6) if isinstance(v, float) else v for v in r]) for r in x.select("g", "id", *outputs).collect())) for x in (by_sort, by_value)]
+    assert found[0] == found[1] and len(found[0]) == df.select("g", "id").distinct().count()
