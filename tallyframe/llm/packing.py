@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.rows import mixed
-from tallyframe.llm.tokens import token_ids
+from tallyframe.llm.tokens import forget, token_ids
 from tallyframe.session import cut_lineage
 
 LENGTH = 2048
@@ -84,6 +84,7 @@ def _encoded(path: str, space_joins: bool, end: int):
 
 
 def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     at = 0
     for batch in batches:
         n = batch.column("n_tokens").to_numpy()
@@ -93,9 +94,9 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = int(end[-1])
 
 
-def _pieces(path: str, space_joins: bool, length: int, total: int, ids_too: bool):
+def _pieces(length: int, total: int, ids_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = token_ids(path, space_joins).dtype
+        forget()
         whole = total - total % length
         tail = [whole]  # where the last sequences begin
         for bit in range(length.bit_length(), -1, -1):
@@ -103,8 +104,8 @@ def _pieces(path: str, space_joins: bool, length: int, total: int, ids_too: bool
                 tail.append(tail[-1] + (1 << bit))
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in ("uid", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
-            for uid, at, data in zip(*(batch.column(c).to_pylist() for c in ("uid", "at", "ids"))):
-                ids = np.frombuffer(data, dtype).astype("<u4")
+            for uid, at, n, data in zip(*(batch.column(c).to_pylist() for c in ("uid", "at", "n_tokens", "ids"))):
+                ids = np.frombuffer(data, f"<u{len(data) // n}").astype("<u4")  # n counts the end id, so it is never 0
                 done = 0
                 while done < len(ids):
                     g = at + done
@@ -137,6 +138,6 @@ def packed(docs: DataFrame, tokenizer: str, space_joins: bool = True, end: int =
         begins.append((r["part"], total))
         total += r["n"]
     offsets = docs.sparkSession.createDataFrame(begins, "part int, begin long")
-    places = laid.join(F.broadcast(offsets), "part").select("uid", (F.col("begin") + F.col("local")).alias("at"))
+    places = laid.join(F.broadcast(offsets), "part").select("uid", (F.col("begin") + F.col("local")).alias("at"), "n_tokens")
     schema = "uid long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return coded.select("uid", "ids").join(places, "uid").mapInArrow(_pieces(tokenizer, space_joins, length, total, ids_too), schema)
+    return coded.select("uid", "ids").join(places, "uid").mapInArrow(_pieces(length, total, ids_too), schema)

@@ -115,3 +115,8 @@ def token_ids(path: str, space_joins: bool) -> TokenIds:
     if key not in _loaded:
         _loaded[key] = TokenIds(path, space_joins)
     return _loaded[key]
+
+
+def forget() -> None:
+    """Free the tokenizers of this worker and their caches: workers are used again by later stages, which need the memory."""
+    _loaded.clear()

@@ -3,11 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tallyframe.llm import packing as P
 from tallyframe.llm import planes as B
+from tallyframe.llm import tokens as T
 from tallyframe.llm.rows import identified, with_ids
 from tallyframe.llm.tokens import TokenIds
 
@@ -83,3 +85,12 @@ def test_empty_repeated_and_null_ids(spark):
     docs = identified(spark.createDataFrame([(7, "b"), (7, "b"), (None, "n"), (7, "a")], "doc_id long, text string"), "doc_id", "text")
     got = with_ids(docs, P.packed(docs, path)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["7", "7", "7", "None"] and sum(r["length"] for r in got) == 8
+
+
+def test_stages_after_the_encoding_free_the_tokenizer_in_their_workers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for later, columns in ((P._laid, {"uid": [1], "part": [0], "n_tokens": [2]}), (P._pieces(4, 2, True), {"uid": [1], "at": [0], "n_tokens": [2], "ids": [b"\x05\x00\x01\x00"]})):
+        list(T.token_ids(path, True).encode(["some words"]))
+        out = list(later(iter([pa.RecordBatch.from_pydict(columns)])))
+        assert out[0].num_rows == 1 and not T._loaded
+    assert out[0].column("ids")[0].as_py() == b"\x05\x00\x00\x00\x01\x00\x00\x00"
