@@ -3,8 +3,9 @@
 A text's set holds its distinct five-word shingles as 64-bit hashes. Equal sets are one node (its digest). Two sets can link only
 if they share one of their first n - ceil(0.75 n) + 1 shingles in a common order; shingles that many texts have come last in that
 order (which ones is found by counting over all texts; the order bears on speed alone, never on results). Sharing such a
-shingle makes a list of candidates. Lists with the same smallest digest, the pivot, are one group: the lists of a passage or of a
-family of copies have the same members, and each is held once.
+shingle makes a list of candidates. In order of size a list falls into runs, cut where the next size is too large for a link. Runs of one set
+hold no link, and the one pair of a run of two is seen in round 1. Runs of three or more with the same smallest digest, the pivot, are one
+group: the lists of a passage or of a family of copies have the same members, and each is held once.
 
 Shingles are also hashed into groups, n/2 to n of them, and the group counts are the set's point. The overlap of two sets is at most the
 sum of the smaller coordinates, so a pair is dropped if that is below 3/7 of both sizes. Three rounds find all links:
@@ -12,9 +13,9 @@ sum of the smaller coordinates, so a pair is dropped if that is below 3/7 of bot
    joins families of copies without all their pairs.
 2. Groups that still hold several components are split into blocks, each pair of blocks gets an R-tree over its points
    (pages in size order, nodes with the maxima of their points). Of the pairs whose nodes and points pass the bound the best one
-   of every two components is verified, which joins most of the rest.
-3. The same again with the new components, and all pairs from different components that pass the bound are verified.
-A link that was never verified joins sets that are in one component already.
+   of every two components is verified, which joins most of the rest. A group where no pair was left aside is done.
+3. The others again with the new components, and all pairs from different components that pass the bound are verified.
+No pair is verified twice. A link that was never verified joins sets that are in one component already.
 
 Null, empty and blank texts have no shingles and stand alone; a text of one to four words is one shingle. Equal ids are told apart by
 `identified`. Sets are compared by 64-bit hashes."""
@@ -192,8 +193,8 @@ def _dealt(buckets: int):
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the lists of a partition, each pair once: (pivot, member, size of the member, False) for all members of a list, the pivot among
-    them; and (first of a size range, member, 0, True)."""
+    """From the lists of a partition, each pair once: (pivot, member, size of the member, False) for all members of a run of three or more, the
+    pivot among them; and (first of a size range, member, 0, True)."""
     shingle, digest, n = [], [], []
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("postings").to_pylist()):
@@ -217,8 +218,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     cut = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
     many = np.diff(np.append(cut, len(shingle)))
-    pivot = np.repeat(np.minimum.reduceat(digest, cut), many)
-    grouped = np.repeat(many > 1, many)
+    run = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (4 * n[:-1] < 3 * n[1:])]))
+    long = np.diff(np.append(run, len(shingle)))
+    pivot = np.repeat(np.minimum.reduceat(digest, run), long)
+    grouped = np.repeat(long > 2, long)
     first = np.repeat(cut, many)  # of the size range; ranges after the first of a list are found step by step
     late = np.flatnonzero(4 * n[first] < 3 * n)
     while len(late):
@@ -289,8 +292,8 @@ class CountTree:
 
     def join(self, label: np.ndarray, one_each: bool = False) -> np.ndarray:
         """Pairs of places (into the given points) with different labels that pass the bound; with `one_each` the pair of every two labels that
-        passes it best."""
-        label, out, spare = label[self.turn], [], []
+        passes it best, and `left_aside` tells whether there were more."""
+        label, out, spare, self.left_aside = label[self.turn], [], [], False
         for i, j in (self.pages() if len(self.sizes) > PAGE else [(0, 0)]):
             a, b = np.arange(i * PAGE, min((i + 1) * PAGE, len(label))), np.arange(j * PAGE, min((j + 1) * PAGE, len(label)))
             groups = min(len(self.points[a[0]]), len(self.points[b[0]]))
@@ -309,12 +312,12 @@ class CountTree:
             order = np.lexsort((-spare, two[:, 1], two[:, 0]))
             two = two[order]
             first = np.concatenate([[True], (two[1:] != two[:-1]).any(1)])
-            pairs = pairs[order[first]]
+            pairs, self.left_aside = pairs[order[first]], not first.all()
         return self.turn[pairs]
 
 
 def _trees(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.RecordBatch]:
-    """One tree per group and pair of blocks; rows come sorted by them."""
+    """One tree per group and pair of blocks; rows come sorted by them. A row (pivot, null) marks a group where pairs were left aside."""
     held: list = []
 
     def joined(rows: list) -> pa.RecordBatch | None:
@@ -325,8 +328,11 @@ def _trees(batches: Iterator[pa.RecordBatch], one_each: bool) -> Iterator[pa.Rec
         x, y = tree.join(np.array([r[4] for r in rows], np.int64), one_each).T
         if not len(x):
             return None
-        a, b = digest[x], digest[y]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        a, b = np.minimum(digest[x], digest[y]).tolist(), np.maximum(digest[x], digest[y]).tolist()
+        if tree.left_aside:
+            a.append(rows[0][0])
+            b.append(None)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "block", "digest", "n", "label", "vector"))):
@@ -370,7 +376,6 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first_of = sets.filter("digest is not null").groupBy("digest").agg(F.min("uid").alias("rep"))
 
     def exact(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs)
         ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
         reps = cut_lineage(first_of.join(ends, "digest"))
         texts = bitmap_filter(rows, "uid", reps.select("rep")).join(reps, F.col("uid") == F.col("rep")).select("digest", "text")
@@ -383,11 +388,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return pairs.join(a, "a").join(b, "b")
 
     stars = found.filter("star").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = exact(with_vectors(stars).mapInArrow(_bounded, "a long, b long"))
+    tried = cut_lineage(with_vectors(stars).mapInArrow(_bounded, "a long, b long"))
+    links = exact(tried)
     members = cut_lineage(found.filter("not star").select(F.col("a").alias("pivot"), F.col("b").alias("digest"), "n").distinct())
 
-    def searched(links: DataFrame, one_each: bool) -> DataFrame:
-        """Links between different components of `links`."""
+    def searched(members: DataFrame, links: DataFrame, one_each: bool) -> DataFrame:
+        """Pairs (a, b) between different components of `links` that pass the bound; with `one_each` also (pivot, null) of groups not done."""
         labels = components(links).withColumnRenamed("node", "digest")
         rows = cut_lineage(members.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest")))
         mixed_groups = rows.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("m")).filter("x <> y")
@@ -397,10 +403,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("block", F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other"))
         dealt = dealt.select("pivot", "block", "digest", "n", "label").join(vectors.select("digest", "vector"), "digest")
         dealt = dealt.repartition("pivot", "block").sortWithinPartitions("pivot", "block").select("pivot", "block", "digest", "n", "label", "vector")
-        return exact(dealt.mapInArrow(lambda batches: _trees(batches, one_each), "a long, b long").distinct())
+        return cut_lineage(dealt.mapInArrow(lambda batches: _trees(batches, one_each), "a long, b long").distinct())
 
-    links = links.unionByName(searched(links, True))
-    more = searched(links, False)
+    best = searched(members, links, True)
+    pairs = cut_lineage(best.filter("b is not null").join(tried, ["a", "b"], "left_anti"))
+    links, tried = links.unionByName(exact(pairs)), tried.unionByName(pairs)
+    undone = members.join(best.filter("b is null").select(F.col("a").alias("pivot")), "pivot", "left_semi")
+    more = exact(cut_lineage(searched(undone, links, False).join(tried, ["a", "b"], "left_anti")))
     whole = components(links.unionByName(more))
 
     groups = first_of.join(whole, first_of["digest"] == whole["node"], "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))

@@ -59,3 +59,35 @@ def test_trees_lose_no_pair():
     linked = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
               if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
     assert linked and linked <= pairs and len(pairs) < len(sets) ** 2 / 8
+
+
+def listed(*sets):
+    """What `_lists` gives for sets (digest, size) that share one shingle."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = {"digest": [d for d, _ in sets], "n": [n for _, n in sets], "prefix": [np.array([77], np.uint64).tobytes()] * len(sets)}
+    out = [b.to_pylist() for b in J._lists(J._dealt(8)(iter([pa.RecordBatch.from_pydict(rows)])))]
+    return sorted((r["a"], r["b"], r["star"]) for rows in out for r in rows)
+
+
+def test_only_runs_of_three_sizes_or_more_are_groups():
+    assert listed((1, 40), (2, 50)) == [(1, 2, True)]
+    assert listed((1, 40), (2, 400)) == []
+    assert listed((1, 40), (2, 400), (3, 500), (4, 600)) == [(2, 2, False), (2, 3, False), (2, 3, True), (2, 4, False)]
+
+
+def test_trees_mark_groups_where_pairs_are_left_aside():
+    import numpy as np
+    import pyarrow as pa
+
+    vector = J.point(np.arange(1, 41).astype(np.uint64)).tobytes()
+
+    def trees(label, one_each):
+        rows = {"pivot": [9] * 3, "block": [0] * 3, "digest": [11, 12, 13], "n": [40] * 3, "label": label, "vector": [vector] * 3}
+        return {tuple(r.values()) for b in J._trees(iter([pa.RecordBatch.from_pydict(rows)]), one_each) for r in b.to_pylist()}
+
+    assert trees([1, 2, 3], True) == {(11, 12), (11, 13), (12, 13)}
+    some = trees([1, 1, 2], True)
+    assert (9, None) in some and len(some) == 2
+    assert trees([1, 1, 2], False) == {(11, 13), (12, 13)}
