@@ -94,3 +94,27 @@ def test_stages_after_the_encoding_free_the_tokenizer_in_their_workers():
         out = list(later(iter([pa.RecordBatch.from_pydict(columns)])))
         assert out[0].num_rows == 1 and not T._loaded
     assert out[0].column("ids")[0].as_py() == b"\x05\x00\x00\x00\x01\x00\x00\x00"
+
+
+LATIN = ["Ouingon ouingon. OUINGON, ÉÀ éà ß ÿ Þa", "J̌ a ǰ", "İi İ ı", "Á µªº A B\u0085c", "KK Ω Σ ΑΣ.", "Don't DON'T", ""]
+
+
+@pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_group_of_texts_learns_each_piece_once(name, space):
+    coder, library, asked = TokenIds(public_tokenizers.path(name), space), Tokenizer.from_file(public_tokenizers.path(name)), []
+    learn = coder.learn
+    coder.learn = lambda pieces: (asked.append(sorted(pieces)), learn(pieces))
+    texts = (LATIN + ODD) * 10
+    for text, got in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(got, coder.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) == 1 and len(set(asked[0])) == len(asked[0])
+    assert ("Ouingon" in coder.known) is space  # capitals are no pieces of their own where the file drops case
+
+
+def test_groups_and_generations_change_no_ids(monkeypatch):
+    monkeypatch.setattr(T, "GROUP_CHARS", 30)
+    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder, library = TokenIds(public_tokenizers.path(name), space, cache_pieces=5), Tokenizer.from_file(public_tokenizers.path(name))
+        texts = (LATIN + ODD) * 2
+        got = [np.frombuffer(g, coder.dtype).tolist() for g in coder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
