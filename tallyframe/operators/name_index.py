@@ -1,6 +1,7 @@
 """Name search by an inverted index of bigrams.
 
-Each distinct name is listed under the bigrams of its words, every word between two spaces, with the number of times it holds them. A search
+Each distinct name is listed once, whatever scopes (seasons, say) it comes in, under the bigrams of its words, every word between two spaces, with the number of times it holds
+them; a search within a scope keeps the names that scope holds. A search
 reads the lists of its own bigrams only. The m bigrams two texts share bound their common subsequence: of the a - 1 bigrams of a text of length a
 a deleted letter breaks at most two and an inserted one at most one, so a common subsequence of L letters leaves m >= 3 L - a - b - 1.
 The same m serves the whole name, its single words and the sorted words of the token set ratio, since spaced words hold the bigrams of any order.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import search_name
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 from .search import name_score, searched_needle, tier_score
 
 #: Names scored first, for each one asked for.
@@ -28,16 +29,17 @@ FIRST = 50
 @dataclass(frozen=True)
 class NameIndex:
     names: DataFrame  # the rows given, and `searched`
-    grams: DataFrame  # scope columns, gram, searched, times
+    grams: DataFrame  # gram, searched, times
     name: str
     key: str
+    scoped: bool = False  # names are a part of those listed
 
     def within(self, **scope) -> NameIndex:
-        """The part of the index of one value of each scope column named; its files are sorted by them."""
-        names, grams = self.names, self.grams
+        """The part of the index of one value of each scope column named; the files of the names are sorted by them."""
+        names = self.names
         for column, value in scope.items():
-            names, grams = names.where(F.col(column) == value), grams.where(F.col(column) == value)
-        return NameIndex(names, grams, self.name, self.key)
+            names = names.where(F.col(column) == value)
+        return NameIndex(names, self.grams, self.name, self.key, self.scoped or bool(scope))
 
 
 def name_index(rows: DataFrame, name: str = "player_name", key: str = "player_id", scope: tuple[str, ...] = ()) -> NameIndex:
@@ -47,10 +49,12 @@ def name_index(rows: DataFrame, name: str = "player_name", key: str = "player_id
     names = cut_lineage(names.repartitionByRange(*order).sortWithinPartitions(*order))
     letters = F.split(F.concat(F.lit(" "), F.replace("searched", F.lit(" "), F.lit("  ")), F.lit(" ")), "")
     pairs = F.transform(F.sequence(F.lit(0), F.size("_l") - 2), lambda i: F.concat(F.get("_l", i), F.get("_l", i + 1)))
-    grams = names.select(*scope, "searched").distinct().withColumn("_l", letters).select(*scope, "searched", F.explode(pairs).alias("gram"))
-    grams = grams.where(F.col("gram") != "  ").groupBy(*scope, "gram", "searched").agg(F.count(F.lit(1)).alias("times"))
-    order = [*scope, "gram", "searched"]
-    return NameIndex(names, cut_lineage(grams.repartitionByRange(*order).sortWithinPartitions(*order)), name, key)
+    grams = names.select("searched").distinct().withColumn("_l", letters).select("searched", F.explode(pairs).alias("gram"))
+    grams = cut_lineage(grams.where(F.col("gram") != "  ").groupBy("gram", "searched").agg(F.count(F.lit(1)).alias("times")))  # the sort reads it twice
+    order = ["gram", "searched"]
+    index = NameIndex(names, cut_lineage(grams.repartitionByRange(*order).sortWithinPartitions(*order)), name, key)
+    release(grams)
+    return index
 
 
 def _letters_shared(text: Column, needle: str) -> Column:
@@ -83,6 +87,8 @@ def bounded_names(index: NameIndex, needle: str) -> DataFrame:
     asked = Counter(p for w in needle.split() for p in map("".join, zip(f" {w}", f"{w} ")))
     times = F.create_map(*[F.lit(x) for pair in asked.items() for x in pair])
     hits = index.grams.where(F.col("gram").isin(list(asked))).groupBy("searched").agg(F.sum(F.least("times", times[F.col("gram")])).alias("shared"))
+    if index.scoped:
+        hits = hits.join(index.names.select("searched").distinct(), "searched", "left_semi")
     return hits.select("searched", score_bound(F.col("searched"), F.col("shared"), needle).alias("bound"))
 
 

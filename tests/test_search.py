@@ -96,3 +96,13 @@ def test_empty_table_and_empty_search(spark):
     assert I.search_index(none, "kalo").collect() == []
     some = I.name_index(spark.createDataFrame(made(5, 1), SCHEMA))
     assert I.search_index(some, " -- ").collect() == [] and I.search_index(some, "kalo", limit=0).collect() == []
+
+
+def test_a_name_is_listed_once_whatever_scopes_it_comes_in(spark):
+    rows = [(i, f"{n} x{i % 40}", f"s{i // 40}") for i, n, _ in [(i, f"kalo{i % 40}", None) for i in range(280)]]
+    index = I.name_index(spark.createDataFrame(rows, SCHEMA), scope=("season",))
+    listed = index.grams.groupBy("gram", "searched").count()
+    assert listed.where("count > 1").isEmpty() and index.grams.select("searched").distinct().count() == 40
+    only = I.name_index(spark.createDataFrame([*rows, (900, "sorbel", "s9")], SCHEMA), scope=("season",))
+    assert [r["player_id"] for r in I.search_index(only.within(season="s9"), "sorbel").collect()] == [900]
+    assert I.search_index(only.within(season="s1"), "sorbel").collect() == []
