@@ -94,3 +94,20 @@ def test_partitions_grow_with_rows(spark):
         assert spark.conf.get(T.INITIAL) == "41"
     finally:
         spark.conf.set(T.INITIAL, before) if before else spark.conf.unset(T.INITIAL)
+
+
+def test_conditions_packed_in_one_number_come_out_as_they_were(spark):
+    from itertools import product
+
+    from tallyframe.sources.boxscore import _digits, _held
+
+    rows = [*product(["R", "A", "N", "X", None], [0.04, 0.05, None], [1, 2, 3, 7, None])]
+    df = spark.createDataFrame(rows, "f string, d double, n int")
+    f, d, n = F.col("f"), F.col("d"), F.col("n")
+    parts = ([f == "R", f == "A", f == "N"], f), ([d >= 0.05], d), ([n == 1, n.isin(2, 3)], n)
+    held = _held(F.col("packed"), [3, 1, 2])
+    again = df.withColumn("packed", _digits(*parts)).select(*[x.alias(f"b{i}{j}") for i, own in enumerate(held) for j, x in enumerate(own)],
+                                                           *[x.alias(f"a{i}{j}") for i, (own, _) in enumerate(parts) for j, x in enumerate(own)])
+    for r in again.collect():
+        r = r.asDict()
+        assert all(r[f"a{k[1:]}"] == v for k, v in r.items() if k[0] == "b"), r
